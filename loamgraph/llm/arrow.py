@@ -27,20 +27,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = to
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, hashes): lower-cased runs of letters and digits as 64-bit hashes, texts one after another. Null is empty."""
+def words(texts: pa.Array, stems: tuple[int, ...] = ()) -> tuple:
+    """(offsets, hashes): lower-cased runs of letters and digits as 64-bit hashes, texts one after another. Null is empty.
+    stems: lengths of word beginnings to hash as well, returned as a third value."""
     t = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     t = pc.utf8_trim_whitespace(pc.replace_substring_regex(t, pattern=r"[^\p{L}\p{N}]+", replacement=" "))
     lists = pc.split_pattern(t, " ")
     enc = lists.flatten().dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in enc.dictionary.to_pylist()), np.uint64, len(enc.dictionary))
-    ids = known[enc.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64)
+    at = enc.indices.to_numpy()
+
+    def hashed(known: pa.Array) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w) for w in known.to_pylist()), np.uint64, len(known))[at]
+
+    every = [hashed(enc.dictionary), *(hashed(pc.utf8_slice_codeunits(enc.dictionary, 0, n)) for n in stems)]
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.equal(t, "").to_numpy(zero_copy_only=False)
     if empty.any():  # an empty text splits into one empty word
-        ids = ids[~np.repeat(empty, counts)]
+        every = [x[~np.repeat(empty, counts)] for x in every]
         counts = np.where(empty, 0, counts)
-    return np.concatenate([[0], np.cumsum(counts)]), ids
+    return (np.concatenate([[0], np.cumsum(counts)]), every[0], *([every[1:]] if stems else []))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

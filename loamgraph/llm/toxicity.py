@@ -1,6 +1,6 @@
 """Operator 10, toxicity by a factorisation machine over hashed terms.
 
-A text's features are its distinct lower-cased words, hashed into ``2 ** bits`` columns. The model is
+A text's features are its distinct lower-cased words and their first 4 and 5 letters, hashed into ``2 ** bits`` columns. The model is
 w0 + sum w_i + sum_{i<j} <v_i, v_j>, whose second part learns pairs such as an insult beside the mention of a
 group; it is trained by Adagrad on logistic loss on the driver, from a sample of at most ``max_rows`` labelled
 rows (in order of a digest of their ids), each reduced on the executors to its hashed terms, of which the sample
@@ -28,12 +28,15 @@ from .arrow import mix64, slices, words
 SCHEMA = "doc_id long, score double"
 
 
+#: Lengths of the word beginnings that are terms beside the words: inflected forms share them.
+STEMS = (4, 5)
+
+
 def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, columns): distinct hashed words of each text, ascending."""
-    offsets, ids = words(texts)
-    cols = (mix64(ids) >> np.uint64(64 - bits)).astype(np.int64)
+    """(offsets, columns): distinct hashed terms of each text, ascending."""
+    offsets, ids, stems = words(texts, STEMS)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    both = np.unique((row << bits) | cols)
+    both = np.unique(np.concatenate([(row << bits) | (mix64(x + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k, x in enumerate((ids, *stems))]))
     return np.searchsorted(both, np.arange(len(offsets)) << bits), both & ((1 << bits) - 1)
 
 
@@ -58,22 +61,25 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(offsets, cols), -40, 40)))
 
 
-def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 3, seed: int = 0) -> Machine:
-    """Adagrad over shuffled batches of rows. Columns seen in fewer than least_rows rows stay out of the model."""
+def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 5, least_z: float = 4.0, seed: int = 0) -> Machine:
+    """Adagrad over shuffled batches of rows. Columns seen in fewer than least_rows rows, or whose count in label 1 is within
+    least_z deviations of chance, stay out of the model: in long texts thousands of such terms would drown the telling ones."""
     size = 1 << bits
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Machine(40.0 if share == 1 else -40.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32), bits)
     rng = np.random.default_rng(seed)
     seen = np.bincount(cols, minlength=size)
-    used = np.flatnonzero(seen >= least_rows)
+    share = labels.mean()
+    toxic = np.bincount(cols, np.repeat(labels, np.diff(offsets)), size)
+    z = (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
+    used = np.flatnonzero((seen >= least_rows) & (np.abs(z) >= least_z))
     to = np.full(size, -1)
     to[used] = np.arange(len(used))
     keep = to[cols] >= 0
     row = np.repeat(np.arange(len(labels)), np.diff(offsets))[keep]
     cols = to[cols[keep]]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(labels)))])
-    share = labels.mean()
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), factors))
     g0, gw, gv = 1e-8, np.full(len(used), 1e-8), np.full((len(used), factors), 1e-8)
     for _ in range(epochs):
