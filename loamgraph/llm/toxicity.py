@@ -61,7 +61,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(offsets, cols), -40, 40)))
 
 
-def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 5, least_z: float = 4.0, seed: int = 0) -> Machine:
+def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 5, least_z: float = 4.0, least_steps: int = 2000, seed: int = 0) -> Machine:
     """Adagrad over shuffled batches of rows. Columns seen in fewer than least_rows rows, or whose count in label 1 is within
     least_z deviations of chance, stay out of the model: in long texts thousands of such terms would drown the telling ones."""
     size = 1 << bits
@@ -82,9 +82,10 @@ def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 1
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(labels)))])
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), factors))
     g0, gw, gv = 1e-8, np.full(len(used), 1e-8), np.full((len(used), factors), 1e-8)
-    for _ in range(epochs):
+    batches = max(1, len(labels) // 64)
+    for _ in range(max(epochs, -(-least_steps // batches))):
         order = rng.permutation(len(labels))
-        for batch in np.array_split(order, max(1, len(order) // 256)):
+        for batch in np.array_split(order, batches):
             n = offsets[batch + 1] - offsets[batch]
             at = np.concatenate([[0], np.cumsum(n)])
             flat = cols[np.repeat(offsets[batch] - at[:-1], n) + np.arange(at[-1])]
