@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, secrets, toxicity, urls, warc
+from . import decontam, exact, mixing, secrets, toxicity, urls, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
     "op4_decontam": op4_decontam,
+    "op5_exact": op5_exact,
     "op7_warc": op7_warc,
     "op8_urls": op8_urls,
     "op10_toxicity": op10_toxicity,
