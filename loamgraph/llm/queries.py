@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing, secrets, toxicity, urls, warc
+from . import decontam, exact, minhash, mixing, secrets, toxicity, urls, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact": op5_exact,
     "op7_warc": op7_warc,
     "op8_urls": op8_urls,
+    "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
 }
 
