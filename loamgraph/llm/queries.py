@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact, minhash, mixing, secrets, toxicity, urls, warc
+from . import decontam, exact, lines, minhash, mixing, secrets, toxicity, urls, warc
 from .common import table
 
 
@@ -34,6 +35,13 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's line counts and the digest and length of what is left of its text."""
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "n_lines", "n_cut", F.char_length(text).cast("long").alias("left_chars"), F.sha2(text, 256).alias("left_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -47,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_decontam": op4_decontam,
     "op5_exact": op5_exact,
+    "op6_lines": op6_lines,
     "op7_warc": op7_warc,
     "op8_urls": op8_urls,
     "op9_minhash": op9_minhash,

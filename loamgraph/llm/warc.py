@@ -79,8 +79,9 @@ def header(kind: str, page_id: int | None, url: str | None, sha1: str, n: int, r
 def dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: int = 8192, size: int = 64 << 10) -> bytes:
     """Trained on a bounded sample; empty if the sample is too small to train on."""
     html = F.substring(F.coalesce(F.col("html"), F.lit("")), 1, sample_bytes)
-    sample = pages.select("page_id", html.alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
-    parts = [r["html"].encode()[:sample_bytes] for r in sample.collect() if r["html"]]
+    ids = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
+    sample = pages.join(F.broadcast(ids.distinct()), "page_id", "left_semi").select("page_id", html.alias("html")).orderBy("page_id", "html")
+    parts = [r["html"].encode()[:sample_bytes] for r in sample.limit(sample_rows).toLocalIterator() if r["html"]]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 8 else b""
     except zstandard.ZstdError:
