@@ -151,3 +151,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of docs, all columns, that hold no item. Nothing is shuffled."""
+    for block in blocks(benchmark, block_chars):
+
+        def keep(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, error_rate)
+            for b in slices(batches, "text"):
+                yield b.filter(pa.array([not t or next(matcher.find(normalise(t)), None) is None for t in b.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

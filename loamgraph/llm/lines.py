@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, stored
 
-KEY = ("_id", "_h")
+KEY = ("__loam_id", "__loam_h")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.withColumn("__loam_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__loam_h", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _lines(text: Column) -> Column:
@@ -107,7 +107,7 @@ def common_blocks(later: list[tuple[int, int, int, int]], earlier: list[tuple[in
 
 
 def repeated_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4) -> DataFrame:
-    """(_id, _h, cut): for documents that lose lines, their numbers (from 0), ascending. docs: (_id, _h, text)."""
+    """(__loam_id, __loam_h, __loam_cut): for documents that lose lines, their numbers (from 0), ascending. docs: (__loam_id, __loam_h, text)."""
     trimmed = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "").alias("line")))
     # blank lines match nothing; n counts the others, so that blocks may span blank lines
     lines = docs.select(*KEY, F.posexplode(F.filter(trimmed, lambda x: x["line"] != "")).alias("n", "x"))
@@ -116,21 +116,21 @@ def repeated_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4
     doc = F.struct(*KEY)
     shared = lines.groupBy("hash").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first != last").select("hash", "first")
     held = stored(lines.join(shared, "hash"), "held")
-    pairs = held.filter((F.col("words") >= anchor_words) & (doc != F.col("first"))).select(*KEY, F.col("first._id").alias("e_id"), F.col("first._h").alias("e_h")).distinct()
+    pairs = held.filter((F.col("words") >= anchor_words) & (doc != F.col("first"))).select(*KEY, F.col("first.__loam_id").alias("e_id"), F.col("first.__loam_h").alias("e_h")).distinct()
     sequences = stored(held.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("n", "hash", "words", "pos"))).alias("seq")), "sequences")
-    both = pairs.join(sequences, [*KEY]).join(sequences.select(F.col("_id").alias("e_id"), F.col("_h").alias("e_h"), F.col("seq").alias("e_seq")), ["e_id", "e_h"])
+    both = pairs.join(sequences, [*KEY]).join(sequences.select(F.col("__loam_id").alias("e_id"), F.col("__loam_h").alias("e_h"), F.col("seq").alias("e_seq")), ["e_id", "e_h"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cuts = [common_blocks(x, y, block_words) for x, y in zip(_rows(part.column("seq")), _rows(part.column("e_seq")), strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column("_id"), part.column("_h"), pa.array(cuts, pa.list_(pa.int32()))], names=["_id", "_h", "cut"])
+                out = pa.RecordBatch.from_arrays([part.column("__loam_id"), part.column("__loam_h"), pa.array(cuts, pa.list_(pa.int32()))], names=["__loam_id", "__loam_h", "cut"])
                 yield out.filter(pa.array([bool(c) for c in cuts], pa.bool_()))
 
-    cuts = both.select(*KEY, "seq", "e_seq").mapInArrow(align, "_id long, _h long, cut array<int>")
+    cuts = both.select(*KEY, "seq", "e_seq").mapInArrow(align, "__loam_id long, __loam_h long, cut array<int>")
     # a document has as many pairs as it has shared lines at most, so its cuts are bounded by its own length squared
-    return cuts.select(*KEY, F.explode("cut").alias("pos")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("cut"))
+    return cuts.select(*KEY, F.explode("cut").alias("pos")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("__loam_cut"))
 
 
 def _rows(seq: pa.ListArray) -> list[list[tuple[int, int, int, int]]]:
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4) -
     rows = keyed(docs)
     cuts = stored(repeated_lines(rows.select(*KEY, "text"), block_words, anchor_words), "cuts")
     out = rows.join(cuts, [*KEY], "left")
-    cut = F.coalesce("cut", F.array().cast("array<int>"))
+    cut = F.coalesce("__loam_cut", F.array().cast("array<int>"))
     left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(cut, i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")).withColumn("n_cut", F.size(cut).cast("long"))
-    return out.withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left)).drop(*KEY, "cut")
+    return out.withColumn("text", F.when(F.col("__loam_cut").isNull(), F.col("text")).otherwise(left)).drop(*KEY, "__loam_cut")

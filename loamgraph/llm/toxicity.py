@@ -154,3 +154,14 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     scored = score(docs, train(docs, labels, **how))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is under the threshold. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield b.filter(pa.array(shared.value.scores(*features(b.column("text"), shared.value.bits)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
