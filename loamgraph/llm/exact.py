@@ -20,7 +20,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, scratch, text_of
@@ -29,7 +29,10 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-LOCATOR = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def locator() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def digest_bits(bits: int = 256):
@@ -39,7 +42,7 @@ def digest_bits(bits: int = 256):
 
 def _rows(raw: DataFrame, digest) -> DataFrame:
     norm = ascii_lower(text_of())
-    return raw.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), LOCATOR.alias("at")).withColumn("digest", digest(F.col("norm")))
+    return raw.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), locator().alias("at")).withColumn("digest", digest(F.col("norm")))
 
 
 def update_state(spark: SparkSession, path: str, folder: str, digest=None) -> None:
