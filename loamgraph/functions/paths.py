@@ -91,7 +91,7 @@ def glob_pattern(glob: str) -> str:
 
 def excluded(path: Column, globs: tuple[str, ...] = ()) -> Column:
     """Under version control or node_modules, a private file, or matched by a glob (those with /*. also by name)."""
-    hit = F.contains(path, F.lit(".git")) | F.contains(path, F.lit("node_modules")) | F.startswith(basename(path), F.lit(".filescope"))
+    hit = F.contains(path, F.lit(".git")) | F.contains(path, F.lit("node_modules")) | F.startswith(basename(path), F.lit(".loamgraph"))
     if globs:
         hit = hit | path.rlike("|".join(f"(?:{glob_pattern(g)})" for g in globs))
         names = [g for g in globs if "/*." in g]

@@ -156,7 +156,7 @@ def stale_count(t):
     return t.files.agg(F.count(F.when(files.is_stale(), 1)).alias("stale"))
 
 
-@query("SELECT path FROM fx_files WHERE NOT (path LIKE '%.git%' OR path LIKE '%node_modules%' OR regexp_extract(path, '[^/]+$') LIKE '.filescope%' OR lower(path) LIKE '%.sh' OR regexp_matches(path, '^(.*/)?tests/.*$'))")
+@query("SELECT path FROM fx_files WHERE NOT (path LIKE '%.git%' OR path LIKE '%node_modules%' OR regexp_extract(path, '[^/]+$') LIKE '.loamgraph%' OR lower(path) LIKE '%.sh' OR regexp_matches(path, '^(.*/)?tests/.*$'))")
 def exclude_filter(t):
     return t.files.filter(~paths.excluded(F.col("path"), ("**/*.sh", "tests/**"))).select("path")
 
