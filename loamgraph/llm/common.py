@@ -54,3 +54,9 @@ def ascii_lower(c: Column) -> Column:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables in the shared folder. Results that still read them are lost, so write those first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/loamgraph")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
