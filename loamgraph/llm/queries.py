@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, exact, html, lines, minhash, mixing, secrets, toxicity, urls, warc
 from .common import table
+from .secrets_sql import secrets_sql
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: What SQL can't express (training, alignment, similarity, entropy windows, page structure, edit distance) is tested against brute force in tests/llm.
+#: What SQL can't express (training, alignment, similarity, page structure, edit distance) is tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
+    "op1_secrets": secrets_sql(),
     "op2_mixing": """
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
