@@ -167,3 +167,13 @@ def purge(files: DataFrame, deps: DataFrame, symbols: DataFrame, calls: DataFram
         one = before.agg(F.count("*").alias("b")).crossJoin(after.agg(F.count("*").alias("a"))).select((F.col("b") - F.col("a")).alias(name))
         counted = one if counted is None else counted.crossJoin(one)
     return kept, counted
+
+
+def sample(files: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
+    """n files at random, to see whether a store is fresh. Sampling is what this does; top-n keeps it to n rows a task."""
+    return files.filter(~F.col("is_directory")).orderBy(F.rand(seed)).limit(n)
+
+
+def put(table: DataFrame, key: str, value: str) -> DataFrame:
+    """A key-value table (key, value) with one pair set."""
+    return table.filter(F.col("key") != key).unionByName(table.sparkSession.createDataFrame([(key, value)], "key string, value string"))

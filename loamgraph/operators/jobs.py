@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +80,43 @@ def rates(samples: DataFrame) -> DataFrame:
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 1e6
     up = F.when(F.col("value") >= F.col("was"), F.col("value") - F.col("was")).otherwise(F.col("value"))
     return s.filter("was is not null").withColumn("seconds", seconds).filter("seconds > 0").select("metric", "ts", "id", (up / F.col("seconds")).alias("rate"))
+
+
+RESULT = "id long, repo string, path string, job_type string, value string, error string, created_at long"
+
+
+def answer(jobs: DataFrame, model: Callable[[str, str], str], workers: int = 4) -> DataFrame:
+    """jobs (id, repo, path, job_type, payload, created_at) answered by model(job_type, payload) where the rows are; an exception becomes the
+    row's error and leaves its value null, so the file stays stale. workers: partitions, hence calls at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values, errors = [], []
+            for kind, text in zip(pdf["job_type"], pdf["payload"], strict=True):
+                try:
+                    values.append(model(kind, text))
+                    errors.append(None)
+                except Exception as e:  # a model may fail in any way; the row tells how
+                    values.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(value=values, error=errors)[["id", "repo", "path", "job_type", "value", "error", "created_at"]]
+
+    return jobs.repartition(workers).mapInPandas(run, RESULT)
+
+
+# What each kind of job asks for.
+ASKS = {
+    "summary": "Summarise the purpose of this file in two sentences.",
+    "concepts": "List functions, classes, interfaces, exports and the purpose of this file as JSON.",
+    "change_impact": "Judge riskLevel, affectedAreas, breakingChanges and a summary of this change as JSON.",
+}
+
+
+def prompt(job_type: Column, path: Column, content: Column, most: int = 64 * 1024) -> Column:
+    ask = F.create_map(*[x for k, v in ASKS.items() for x in (F.lit(k), F.lit(v))])[job_type]
+    return payload(F.concat(ask, F.lit("\nFile: "), path), content, most)
+
+
+def snapshot_of(text: Column) -> Column:
+    """A stored export snapshot; null where it can't be read."""
+    return F.from_json(text, "filePath string, exports array<struct<name:string,kind:string,signature:string>>, imports array<string>, capturedAt long")

@@ -158,7 +158,7 @@ def test_snapshot_stream_keeps_state(spark, tmp_path):
     for i, digest in enumerate(["x", "x", "y"]):
         spark.createDataFrame([("p", i, digest)], "path string, ts long, digest string").coalesce(1).write.mode("append").parquet(src)
     raw = spark.readStream.schema("path string, ts long, digest string").option("maxFilesPerTrigger", 1).parquet(src)
-    streams.each_batch(streams.snapshots(raw), lambda b, n: out.extend(r["changed"] for r in b.collect()), str(tmp_path / "ck"), "update" if False else "append").awaitTermination()
+    streams.each_batch(streams.snapshots(raw), lambda b, n: out.extend(r["changed"] for r in b.collect()), str(tmp_path / "ck")).awaitTermination()
     assert sorted(out) == ["body-only", "changed", "unknown"]
 
 
@@ -201,3 +201,36 @@ def test_parsers(path, text, edges, symbols):
 def test_long_file():
     p = languages.parse("a.ts", "export function f() { g(); }\n" * 10_000)
     assert len(p.symbols) == 10_000 and len(p.calls) == 10_000
+
+
+def test_model_answers_and_failures(spark):
+    df = spark.createDataFrame([(1, "r", "a", "summary", "x", 5), (2, "r", "b", "concepts", "boom", 6)], "id long, repo string, path string, job_type string, payload string, created_at long")
+
+    def model(kind, text):
+        if text == "boom":
+            raise RuntimeError("no")
+        return f"{kind}:{text}"
+
+    got = {r["id"]: (r["value"], r["error"]) for r in jobs.answer(df, model).collect()}
+    assert got == {1: ("summary:x", None), 2: (None, "RuntimeError: no")}
+    text = df.select(jobs.prompt(F.col("job_type"), F.col("path"), F.col("payload"), 2)).collect()[1][0]
+    assert text.endswith("File: b\nbo\n... [truncated]")
+    bad = spark.createDataFrame([("{",), ('{"exports": [{"name": "a"}]}',)], "t string").select(jobs.snapshot_of(F.col("t")).alias("s")).collect()
+    assert bad[1]["s"]["exports"][0]["name"] == "a" and (bad[0]["s"] is None or bad[0]["s"]["exports"] is None)
+
+
+def test_log_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("[t1] [P] one\n[t2] two\n")
+    out = []
+    streams.each_batch(scan.log_stream(spark, str(tmp_path / "in")), lambda b, n: out.extend(tuple(r) for r in b.collect()), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(out) == [("t1", "P", "one"), ("t2", "", "two")]
+
+
+def test_job_stream_keeps_the_newest(spark, tmp_path):
+    for batch in ([("r", "a", "summary", 9, 1, 5)], [("r", "a", "summary", 3, 2, 5), ("r", "b", "summary", 1, 3, 5)]):
+        spark.createDataFrame(batch, "repo string, path string, job_type string, created_at long, id long, importance int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    raw = spark.readStream.schema("repo string, path string, job_type string, created_at long, id long, importance int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    streams.each_batch(streams.latest_jobs(raw), lambda b, n: got.update({r["path"]: r["id"] for r in b.collect()}), str(tmp_path / "ck"), "update").awaitTermination()
+    assert got == {"a": 1, "b": 3}
