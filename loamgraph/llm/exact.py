@@ -78,7 +78,8 @@ def dedup(spark: SparkSession, path: str, folder: str | None = None, digest=None
     hits.write.parquet(f"{folder}/hits")
     hits = spark.read.schema(hits.schema).parquet(f"{folder}/hits")
     full = F.sha2("norm", 256)
-    tied = rows.join(hits, "digest", "left").select("doc_id", "at", "digest", "n", "keep", full.alias("text_sha256"), F.when(F.col("n").isNotNull(), F.col("norm")).alias("norm"))
+    # by shuffle at every size: whether the hits would fit a broadcast depends on the input
+    tied = rows.join(hits.hint("merge"), "digest", "left").select("doc_id", "at", "digest", "n", "keep", full.alias("text_sha256"), F.when(F.col("n").isNotNull(), F.col("norm")).alias("norm"))
     tied.write.parquet(f"{folder}/rows")
     tied = spark.read.schema(tied.schema).parquet(f"{folder}/rows")
     several = tied.filter("n is not null")
