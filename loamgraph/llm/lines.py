@@ -144,7 +144,8 @@ def dedup_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4) -
     """The rows of docs with text shortened, plus n_lines and n_cut (long)."""
     rows = keyed(docs)
     cuts = stored(repeated_lines(rows.select(*KEY, "text"), block_words, anchor_words), "cuts")
-    out = rows.join(cuts, [*KEY], "left")
+    # by shuffle at every size: whether the cuts would fit a broadcast depends on the input
+    out = rows.join(cuts.hint("merge"), [*KEY], "left")
     cut = F.coalesce("__loam_cut", F.array().cast("array<int>"))
     left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(cut, i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")).withColumn("n_cut", F.size(cut).cast("long"))
