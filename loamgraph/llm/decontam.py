@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import in_batches, slices
 
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 _GAPS = re.compile(r"[\W_]+")
@@ -148,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, SCHEMA)
+        found = in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), search, SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
@@ -162,5 +162,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block
             for b in slices(batches, "text"):
                 yield b.filter(pa.array([not t or next(matcher.find(normalise(t)), None) is None for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = in_batches(docs, keep, docs.schema)
     return docs

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import in_batches, slices
 from .common import stored
 from .urls import host_and_path
 from .urls import split as split_url
@@ -208,7 +208,7 @@ def tokens(pages: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, TOKENS)
+    rows = in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), run, TOKENS)
     total = [F.sum(c).alias(c) for c in ("v1", "v2", "pages", "once", "chars", "links")]
     ends = [F.min("first_min").alias("first_min"), F.max("first_max").alias("first_max"), F.min("text_min").alias("text_min"), F.max("text_max").alias("text_max"), F.max("main").alias("main"), F.max("bad").alias("bad")]
     return rows.groupBy("host", "path").agg(*total, *ends)
@@ -261,4 +261,4 @@ def extract(pages: DataFrame, least_pages: int = 3, support: float = 0.9, broadc
             texts = [main_text(page, *s) for page, s in zip(b.column("html").to_pylist(), slots, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return in_batches(rows, run, "page_id long, url string, text string")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import in_batches
 from .common import SPACE, stored
 
 KEY = ("__loam_id", "__loam_h")
@@ -128,7 +129,7 @@ def repeated_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4
                 out = pa.RecordBatch.from_arrays([part.column("__loam_id"), part.column("__loam_h"), pa.array(cuts, pa.list_(pa.int32()))], names=["__loam_id", "__loam_h", "cut"])
                 yield out.filter(pa.array([bool(c) for c in cuts], pa.bool_()))
 
-    cuts = both.select(*KEY, "seq", "e_seq").mapInArrow(align, "__loam_id long, __loam_h long, cut array<int>")
+    cuts = in_batches(both.select(*KEY, "seq", "e_seq"), align, "__loam_id long, __loam_h long, cut array<int>")
     # a document has as many pairs as it has shared lines at most, so its cuts are bounded by its own length squared
     return cuts.select(*KEY, F.explode("cut").alias("pos")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("__loam_cut"))
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import mix64, shingles, slices, words
+from .arrow import in_batches, mix64, shingles, slices, words
 from .common import stored
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +103,7 @@ def signed(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
     """(doc_id, node, n, keys, elements) of each row; node is null for a text without elements. elements: sorted 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             offsets, ids = words(b.column("text"))
             row, element = elements(*shingles(offsets, ids, shingle))
             keys = band_keys(signatures(row, element, b.num_rows, bands * rows), bands)
@@ -114,7 +114,7 @@ def signed(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(node, pa.binary()), pa.array(np.diff(ends), pa.int32()), listed, pa.array(short, pa.binary())], schema=SIGNED)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node binary, n int, keys array<long>, elements binary")
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, "doc_id long, node binary, n int, keys array<long>, elements binary")
 
 
 def linked(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
@@ -131,7 +131,7 @@ def linked(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
                 ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a binary, b binary")
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb"), run, "a binary, b binary")
 
 
 def pairs_of(buckets: DataFrame, least: float, whole: int) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +190,7 @@ def prefix_pairs(elements: DataFrame, asked: DataFrame, labels: DataFrame, least
             n = np.array([len(x) for x in own])
             yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(own))], names=["node", "n", "element"])
 
-    every = stored(elements.dropDuplicates(["node"]).mapInArrow(spread, "node binary, n int, element long"), "spread")
+    every = stored(in_batches(elements.dropDuplicates(["node"]), spread, "node binary, n int, element long"), "spread")
     rarity = every.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
     # an element of one node only is in no pair, but fills the node's prefix
     ranked = every.join(rarity, "element", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "element")))

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import mix64, slices, words
+from .arrow import in_batches, mix64, slices, words
+from .common import stored
 
 SCHEMA = "doc_id long, score double"
 
@@ -128,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             offsets, cols = features(b.column("text"), bits)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cols, pa.int32()))], names=["doc_id", "y", "terms"])
 
-    made = rows.mapInArrow(terms, "doc_id long, y int, terms array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+    # written first, since sorting reads its input twice
+    made = stored(in_batches(rows, terms, "doc_id long, y int, terms array<int>"), "terms").orderBy(F.xxhash64("doc_id"), "doc_id", "y")
     ys, parts, held = [], [], 0
     for r in made.toLocalIterator():
         if held + len(r["terms"]) > max_terms:
@@ -148,7 +150,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(shared.value.scores(*features(b.column("text"), shared.value.bits)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, SCHEMA)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
@@ -164,4 +166,4 @@ def reject(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame
         for b in slices(batches, "text"):
             yield b.filter(pa.array(shared.value.scores(*features(b.column("text"), shared.value.bits)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

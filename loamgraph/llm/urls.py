@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import in_batches
 from .common import ascii_lower
 
 #: (rule, verdict): host, "/" and path.
@@ -178,6 +179,6 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: T
 
     host, path = host_and_path(F.col("url"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, "page_id long, url string, score double")
+    rows = in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), run, "page_id long, url string, score double")
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("rule", rule)
     return rows.select("page_id", "host", "path", "rule", F.coalesce(says, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

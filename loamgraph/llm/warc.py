@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import in_batches, slices
 from .common import scratch
 
 MAGIC = 0x184D2A5D
@@ -139,7 +139,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, **how: int) -> list[
             names.append(last)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
 
-    return sorted(r["path"] for r in decided(pages, least).mapInArrow(run, "path string").collect())
+    return sorted(r["path"] for r in in_batches(decided(pages, least), run, "path string").collect())
 
 
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -190,7 +190,7 @@ def read(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
                     yield batch(rows)
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInArrow(run, SCHEMA)
+    return in_batches(files, run, SCHEMA)
 
 
 def archived(pages: DataFrame, least: int = 1000) -> DataFrame:
