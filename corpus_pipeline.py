@@ -30,7 +30,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each class the document with the least doc_id stays."""
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__loam_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__loam_id")), "left_semi")
+    # by shuffle at every size: whether the ids would fit a broadcast depends on the input
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__loam_id")), "left_semi")
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
