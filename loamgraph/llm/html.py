@@ -48,6 +48,11 @@ SELF_CLOSING = frozenset("li dt dd tr td th option p".split())
 BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|newsletter|subscribe|popup|modal|share|sharing|social|related|recommended|comments?|disqus|replies|widget)(?:$|[\s_-])", re.I)
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
+#: Layout classes tell of a sidebar or menu elsewhere; an article's own header holds its title.
+_LAYOUT = re.compile(r"(?:has|with|without|no|is|js)-", re.I)
+_HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
+_REPLY = re.compile(r"(?:^|[_-])(?:comments?|reply|replies)(?:$|[_-])", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -63,11 +68,21 @@ class Node:
         self.name, self.path, self.bad, self.article = name, path, bad, article
 
 
+def names_boilerplate(name: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id says that an element of that name isn't main text."""
+    tokens = [t for t in value.split() if not _LAYOUT.match(t)]
+    if name in ("html", "body", "main"):
+        return False
+    if name == "article":
+        return any(_REPLY.search(t) for t in tokens)
+    return any(BAD_NAME.search(t) and not (in_article and _HEADER.search(t)) for t in tokens)
+
+
 def opened(tag: str, name: str, parent: Node) -> Node:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(tag[1 + len(name) :])} if len(tag) > len(name) + 2 else {}
     label = name + "".join(f"{mark}{found[k]}" for mark, k in ((".", "class"), ("#", "id")) if k in found and not any(c.isdigit() for c in found[k]))
     article = parent.article or name in ("article", "main") or found.get("role") in ("main", "article")
-    bad = parent.bad or name in BOILERPLATE or (name == "header" and not parent.article) or found.get("role", "").lower() in BAD_ROLE or "hidden" in found or any(BAD_NAME.search(found[k]) for k in ("class", "id") if k in found and name not in ("html", "body", "article", "main"))
+    bad = parent.bad or name in BOILERPLATE or (name == "header" and not parent.article) or found.get("role", "").lower() in BAD_ROLE or "hidden" in found or any(names_boilerplate(name, found[k], parent.article) for k in ("class", "id") if k in found)
     return Node(name, f"{parent.path}/{label}", bad, article)
 
 
@@ -138,9 +153,11 @@ def main_text(page: str | None, main: frozenset[str] = frozenset(), drop: frozen
         if node.name == "br" or node.name in ("img", "wbr"):
             parts.append(" " if node.name == "br" else "")
             continue
+        if node.name in RAW:
+            continue
         if node.name not in INLINE:
             end_block()
-        if node.name in VOID or node.name in RAW:
+        if node.name in VOID:
             continue
         is_main, is_drop = node.path in main, node.path in drop
         step = 1 if kind == "open" else -1

@@ -140,6 +140,15 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_roles():
+    text = lambda body: html.main_text(f"<html><body class='has-sidebar'>{body}</body></html>")
+    assert text("<div class='page with-sidebar'><main><header class='entry-header'><h1>T</h1></header><p>x<br>y</p><div class='share-buttons'>no</div></main></div>") == "T\nx y"
+    assert text("<article><p>a</p><section id='comments'><article class='comment'><p>no</p></article></section></article><article class='comment reply'>no</article>") == "a"
+    assert text("<header><p>no</p></header><div role='navigation'>no</div><div class=\"cookie-notice\">no</div><p>a &nbsp;b</p><ul><li>c<li>d</ul><table><tr><td>e<td>f</table><p hidden>no</p>") == "a b\nc\nd\ne\nf"
+    assert text("<p>a<script>if (a < b) '</p>'</script>b</p><textarea>no</textarea><noscript><p>no</p></noscript>") == "ab"
+    assert text("<p>un<!-- closed") == "un" and text("<p>1 < 2 &amp;&lt; 3</p>") == "1 < 2 &< 3"
+
+
 def test_html_template_without_article(spark):
     body = lambda i: f"<html><body><div class='top'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='box'>Always the same words</div><div class='story'><p>Story {i} tells of {i * 7}.</p></div></body></html>"
     df = table(spark, [(i, "http://h.example/", body(i)) for i in range(6)], "page_id long, url string, html string")
