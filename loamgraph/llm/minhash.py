@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import in_batches, mix64, shingles, slices, words
@@ -180,21 +180,55 @@ def unlinked(many: DataFrame, labels: DataFrame) -> DataFrame:
     return rest.filter(apart("l1") & apart("l2")).select("key", "node")
 
 
+#: Counters of how common elements are.
+SLOTS = 1 << 20
+
+
+def _slot(elements: np.ndarray) -> np.ndarray:
+    return (mix64(elements) >> np.uint64(44)).astype(np.int64)
+
+
 def prefix_pairs(elements: DataFrame, asked: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs of an asked node and any node of elements that may reach the similarity and aren't in one class yet. Exact:
     of the elements two similar texts share, the rarest stands so early in both that enough can follow."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "elements", 1 << 20):
-            own = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in b.column("elements")]
-            n = np.array([len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(own))], names=["node", "n", "element"])
-
-    every = stored(in_batches(elements.dropDuplicates(["node"]), spread, "node binary, n int, element long"), "spread")
-    rarity = every.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
-    # an element of one node only is in no pair, but fills the node's prefix
-    ranked = every.join(rarity, "element", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "element")))
-    prefix = ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("df").isNotNull()).join(labels, "node", "left")
+    spark = elements.sparkSession
+    nodes = elements.dropDuplicates(["node"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column("elements"):
+                np.add.at(total, _slot(np.frombuffer(x.as_buffer(), np.uint32)), 1)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 10_000):
+            part = some[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["slot", "df"])
+
+    # How common elements are is counted by slot: a table of fixed size, whatever the input. Slots that several elements share only
+    # change the order of elements, and any one order is exact.
+    sketch = np.zeros(SLOTS, np.int64)
+    for r in in_batches(nodes.select("elements"), count, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).toLocalIterator():
+        sketch[r["slot"]] = r["df"]
+    common = spark.sparkContext.broadcast(sketch)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "elements"):
+            at, n, element, rank = [], [], [], []
+            for i, x in enumerate(b.column("elements")):
+                own = np.frombuffer(x.as_buffer(), np.uint32)
+                df = common.value[_slot(own)]
+                order = np.lexsort((own, df))[: len(own) - math.ceil(len(own) * least - 1e-9) + 1]
+                # an element of one node only is in no pair, but fills the node's prefix
+                keep = df[order] > 1
+                at.append(np.full(keep.sum(), i))
+                n.append(np.full(keep.sum(), len(own)))
+                element.append(own[order][keep].astype(np.int64))
+                rank.append(np.flatnonzero(keep) + 1)
+            at = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(at)), pa.array(np.concatenate(n), pa.int32()), pa.array(np.concatenate(element), pa.int64()), pa.array(np.concatenate(rank), pa.int32())], names=["node", "n", "element", "rank"])
+
+    prefix = in_batches(nodes.select("node", "elements"), first, "node binary, n int, element long, rank int").join(labels, "node", "left")
     prefix = stored(prefix.select("node", "n", "element", "rank", F.coalesce("label", "node").alias("label")), "prefix")
     left = prefix.join(asked, "node", "left_semi").select("element", F.col("node").alias("x"), F.col("n").alias("m"), F.col("rank").alias("place"), F.col("label").alias("of"))
     shared = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
