@@ -1,10 +1,12 @@
 """Operator 6, line dedup by pairwise alignment.
 
 Documents are ordered by doc_id (then by a digest of the text). A line is shared if more than one document holds it;
-its first holder is the earliest of them. A document is paired with the first holders of its shared lines of at least
-``anchor_words`` words: one pair per holder, found by aggregation, never all pairs of the documents that share a
-line, so a line in a third of all documents makes as many pairs as it has documents. Any passage that repeats was
-seen first by some first holder, so these pairs reach every repeated passage.
+runs of lines are shared and first held in the same way. Lines that aren't blank and follow each other (over blank lines
+too) are cut into windows: from each line, and up to each line, the shortest run of at least ``block_words`` words. A
+document is paired with the first holders of its shared windows: one pair per holder, found by aggregation, never all
+pairs of the documents that share a window, so a passage in a third of all documents makes as many pairs as it has
+documents. Windows cover every line of a repeated passage of ``block_words`` words, however short its lines are, and the
+first holder of a window holds all of it, so these pairs reach every repeated passage.
 
 Each pair is aligned by patience diff over the sequences of shared lines (others can't match): lines that are unique in both
 are matched along their longest common subsequence of positions, and matches grow over equal
@@ -24,11 +26,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import in_batches
+from .arrow import in_batches, mix64
 from .common import SPACE, stored
 
 KEY = ("__loam_id", "__loam_h")
@@ -87,10 +91,35 @@ def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def windows(place: np.ndarray, words: np.ndarray, doc: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last): the shortest runs of at least block_words words from each line and up to each line. Lines are those of documents one
+    after another; a run holds lines of one document with places that follow each other."""
+    n = len(place)
+    run = np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (np.diff(place) != 1)])[:n])
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    every = np.arange(n)
+    to = np.searchsorted(total, total[:-1] + block_words) - 1
+    since = np.searchsorted(total, total[1:] - block_words, side="right") - 1
+    first, last = np.concatenate([every, since]), np.concatenate([to, every])
+    ok = (first >= 0) & (last < n)
+    ok[ok] = run[first[ok]] == run[last[ok]]
+    first, last = np.unique(np.stack([first[ok], last[ok]]), axis=1)
+    return first, last
+
+
+def window_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the lines of each window, wherever the window stands."""
+    h = np.full(len(first), np.uint64(0x9E3779B97F4A7C15))
+    for k in range(int((last - first).max()) + 1 if len(first) else 0):
+        on = first + k <= last
+        h[on] = mix64(h[on] * np.uint64(0x100000001B3) + hashes[first[on] + k])
+    return h
+
+
 def common_blocks(later: list[tuple[int, int, int, int]], earlier: list[tuple[int, int, int, int]], block_words: int) -> list[int]:
     """Line numbers of the later document in common blocks; both lists hold (place among the lines that aren't blank, hash, words, line number) of shared lines."""
     matched = patience([x[1] for x in later], [x[1] for x in earlier])
-    out: list[int] = []
+    out: set[int] = set()
     block: list[int] = []
     words = 0
     last = None
@@ -98,16 +127,16 @@ def common_blocks(later: list[tuple[int, int, int, int]], earlier: list[tuple[in
         here = (later[i][0], earlier[j][0]) if i is not None else None
         if last is None or here is None or here != (last[0] + 1, last[1] + 1):
             if words >= block_words:
-                out += block
+                out.update(block)
             block, words = [], 0
         if i is not None:
-            block.append(later[i][3])
+            block.append(i)
             words += later[i][2]
         last = here
-    return out
+    return [later[i][3] for i in sorted(out)]
 
 
-def repeated_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4) -> DataFrame:
+def repeated_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
     """(__loam_id, __loam_h, __loam_cut): for documents that lose lines, their numbers (from 0), ascending. docs: (__loam_id, __loam_h, text)."""
     trimmed = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "").alias("line")))
     # blank lines match nothing; n counts the others, so that blocks may span blank lines
@@ -117,8 +146,23 @@ def repeated_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4
     doc = F.struct(*KEY)
     shared = lines.groupBy("hash").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first != last").select("hash", "first")
     held = stored(lines.join(shared, "hash"), "held")
-    pairs = held.filter((F.col("words") >= anchor_words) & (doc != F.col("first"))).select(*KEY, F.col("first.__loam_id").alias("e_id"), F.col("first.__loam_h").alias("e_h")).distinct()
     sequences = stored(held.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("n", "hash", "words", "pos"))).alias("seq")), "sequences")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                seq = part.column("seq")
+                n, h, w = (x.field(k).to_numpy() for x in [seq.flatten()] for k in range(3))
+                doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(seq).to_numpy())
+                first, last = windows(n, w, doc, block_words)
+                known = window_hashes(h.astype(np.uint64), first, last).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(doc[first])) for k in KEY), pa.array(known)], names=[*KEY, "window"])
+
+    # a shared window has shared lines only, so the sequences of shared lines hold them all
+    runs = stored(in_batches(sequences, cut, "__loam_id long, __loam_h long, window long").distinct(), "windows")
+    again = runs.groupBy("window").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first != last").select("window", "first")
+    pairs = runs.join(again, "window").filter(doc != F.col("first")).select(*KEY, F.col("first.__loam_id").alias("e_id"), F.col("first.__loam_h").alias("e_h")).distinct()
     both = pairs.join(sequences, [*KEY]).join(sequences.select(F.col("__loam_id").alias("e_id"), F.col("__loam_h").alias("e_h"), F.col("seq").alias("e_seq")), ["e_id", "e_h"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +174,7 @@ def repeated_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4
                 yield out.filter(pa.array([bool(c) for c in cuts], pa.bool_()))
 
     cuts = in_batches(both.select(*KEY, "seq", "e_seq"), align, "__loam_id long, __loam_h long, cut array<int>")
-    # a document has as many pairs as it has shared lines at most, so its cuts are bounded by its own length squared
+    # a document has at most two pairs for each of its shared lines, so its cuts are bounded by its own length squared
     return cuts.select(*KEY, F.explode("cut").alias("pos")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("__loam_cut"))
 
 
@@ -141,10 +185,10 @@ def _rows(seq: pa.ListArray) -> list[list[tuple[int, int, int, int]]]:
     return [rows[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def dedup_lines(docs: DataFrame, block_words: int = 20, anchor_words: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
     """The rows of docs with text shortened, plus n_lines and n_cut (long)."""
     rows = keyed(docs)
-    cuts = stored(repeated_lines(rows.select(*KEY, "text"), block_words, anchor_words), "cuts")
+    cuts = stored(repeated_lines(rows.select(*KEY, "text"), block_words), "cuts")
     # by shuffle at every size: whether the cuts would fit a broadcast depends on the input
     out = rows.join(cuts.hint("merge"), [*KEY], "left")
     cut = F.coalesce("__loam_cut", F.array().cast("array<int>"))

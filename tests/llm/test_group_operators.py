@@ -66,6 +66,36 @@ def test_line_dedup_of_a_hot_passage(spark):
     assert all(passage not in left[i] and len(left[i].split("\n")) == 2 for i in range(1, 300))
 
 
+def brute_cuts(docs, block_words=20):
+    """doc_id: lines in runs of block_words words or more that an earlier document holds. docs: (doc_id, lines), none blank, ascending."""
+    out, seen = {}, set()
+    for i, x in docs:
+        runs = {(a, b): tuple(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(len(y.split()) for y in x[a:b]) >= block_words}
+        out[i] = {k for (a, b), r in runs.items() if r in seen for k in range(a, b)}
+        seen |= set(runs.values())
+    return out
+
+
+def cut_texts(docs):
+    gone = brute_cuts(docs)
+    return {i: "\n".join(y for k, y in enumerate(x) if k not in gone[i]) for i, x in docs}
+
+
+def left_texts(spark, docs):
+    return {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, [(i, "\n".join(x)) for i, x in docs], "doc_id long, text string")).collect()}
+
+
+def test_line_dedup_reaches_passages_of_frequent_and_short_lines(spark):
+    passage = [line(12) for _ in range(3)]
+    docs = [(i, [line(), passage[i], line()]) for i in range(3)]  # each line was seen before, in different documents
+    docs += [(3, [line(), *passage, line()]), (4, [line(), line(), *passage])]
+    short = [line(2) for _ in range(12)]
+    docs += [(5, [*short, line()]), (6, [line(), *short])]
+    got = left_texts(spark, docs)
+    assert got == cut_texts(docs)
+    assert got[4] == "\n".join(docs[4][1][:2]) and got[6] == docs[6][1][0]
+
+
 # 7
 
 
