@@ -11,7 +11,9 @@ first holder of a window holds all of it, so these pairs reach every repeated pa
 Each pair is aligned by patience diff over the sequences of shared lines (others can't match): lines that are unique in both
 are matched along their longest common subsequence of positions, and matches grow over equal
 neighbours. Runs of matched lines that are contiguous in both documents are common blocks; blocks of at least
-``block_words`` words are deleted from the later document. The earlier keeps its text.
+``block_words`` words are deleted from the later document. What patience leaves (passages that occur twice, or in another
+order) is looked up by windows of the earlier document, so a line is deleted exactly if it stands in a run of at least
+``block_words`` words that an earlier document holds as well. The earlier keeps its text.
 
 Both joins that carry sequences to pairs are equi-joins that adaptive execution splits; a sequence is bounded by its
 document. Lines are compared trimmed of white space at the ends. Null text counts as empty and stays null. Rows that repeat a
@@ -133,9 +135,20 @@ def common_blocks(later: list[tuple[int, int, int, int]], earlier: list[tuple[in
             block.append(i)
             words += later[i][2]
         last = here
+    if len(out) < len(later):
+        known = {tuple(x[1] for x in earlier[a : b + 1]) for a, b in _windows(earlier, block_words)}
+        for a, b in _windows(later, block_words):
+            if tuple(x[1] for x in later[a : b + 1]) in known:
+                out.update(range(a, b + 1))
     return [later[i][3] for i in sorted(out)]
 
 
+def _windows(seq: list[tuple[int, int, int, int]], block_words: int) -> Iterator[tuple[int, int]]:
+    place, words = (np.array([x[k] for x in seq], np.int64) for k in (0, 2))
+    first, last = windows(place, words, np.zeros(len(seq), np.int64), block_words)
+    return zip(first.tolist(), last.tolist(), strict=True)
+
+
 def repeated_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
     """(__loam_id, __loam_h, __loam_cut): for documents that lose lines, their numbers (from 0), ascending. docs: (__loam_id, __loam_h, text)."""
     trimmed = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "").alias("line")))

@@ -96,6 +96,19 @@ def test_line_dedup_reaches_passages_of_frequent_and_short_lines(spark):
     assert got[4] == "\n".join(docs[4][1][:2]) and got[6] == docs[6][1][0]
 
 
+def test_line_dedup_of_repeated_and_moved_passages(spark):
+    p, q = ([line(12) for _ in range(2)] for _ in range(2))
+    a, b = ([line(12) for _ in range(3)] for _ in range(2))
+    docs = [(1, [line(), *p, *q, line()]), (2, [line(), *p, *q, line(), *p, *q, line()]), (3, [line(), *a, line(), *b]), (4, [line(), *b, line(), *a])]
+    got = left_texts(spark, docs)
+    assert got == cut_texts(docs)
+    assert len(got[2].split("\n")) == 3 and len(got[4].split("\n")) == 2
+    r = random.Random(9)
+    some = [line(n) for n in (1, 2, 3, 5, 8, 25)]
+    docs = [(i, [r.choice(some) for _ in range(r.randrange(1, 14))]) for i in range(80)]
+    assert left_texts(spark, docs) == cut_texts(docs)
+
+
 # 7
 
 
