@@ -8,9 +8,10 @@ alike). The valid class of tokens that occur once in (almost) every page is the
 tokens lie below a skeleton token's path nest in the slot after it. Hosts with fewer than ``least_pages`` pages take the
 template that is deduced over all pages.
 
-A slot is boilerplate if its element or class says so (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) or, in templates without an article or main slot, if it holds the same text on all pages or mostly
-links. The main slots are the article or main slots, or else the remaining ones. What remains of the page in main slots
+Slots are the skeleton's elements but inline ones; a text belongs to the slot next around it. A slot is boilerplate if its
+element or class says so (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) or, in
+templates without an article or main slot, if the text that belongs to it is the same on all pages, of which at least two
+differ in other text, or mostly links. The latter loses its own text only: other slots inside it stay. The main slots are the article or main slots, or else the remaining ones. What remains of the page in main slots
 is its text: character references decoded, white space inside a block (line breaks too) turned into one space, trimmed,
 non-empty blocks joined by \\n in page order. Nothing else is dropped, so a page outside its host's template keeps
 whatever isn't boilerplate.
@@ -129,8 +130,8 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
             stack.append(node)
 
 
-def main_text(page: str | None, main: frozenset[str] = frozenset(), drop: frozenset[str] = frozenset()) -> str:
-    """main: paths of main slots, if the template has any that this page has too; drop: paths of boilerplate slots."""
+def main_text(page: str | None, main: frozenset[str] = frozenset(), drop: frozenset[str] = frozenset(), keep: frozenset[str] = frozenset()) -> str:
+    """main: paths of main slots, if the template has any that this page has too; drop: paths of boilerplate slots; keep: paths of other slots inside those."""
     blocks: list[tuple[bool, str]] = []
     parts: list[str] = []
     inside = False
@@ -143,10 +144,11 @@ def main_text(page: str | None, main: frozenset[str] = frozenset(), drop: frozen
             blocks.append((held, text))
         parts.clear()
 
-    depth_main, depth_drop = 0, 0
+    depth_main = 0
+    dropped = [False]
     for kind, node, text in walk(page or ""):
         if kind == "text":
-            if not (node.bad or depth_drop):
+            if not (node.bad or dropped[-1]):
                 held = bool(depth_main)
                 parts.append(text)
             continue
@@ -160,19 +162,29 @@ def main_text(page: str | None, main: frozenset[str] = frozenset(), drop: frozen
         if node.name in VOID:
             continue
         is_main, is_drop = node.path in main, node.path in drop
-        step = 1 if kind == "open" else -1
-        depth_main += step * is_main
-        depth_drop += step * is_drop
+        depth_main += is_main if kind == "open" else -is_main
+        if is_drop or node.path in keep:
+            if kind == "open":
+                dropped.append(is_drop)
+            else:
+                dropped.pop()
         inside |= is_main
     end_block()
     return "\n".join(t for of_main, t in blocks if of_main or not inside)
 
 
-TOKENS = "host string, path string, v1 long, v2 long, pages long, once long, first_min int, first_max int, chars long, links long, text_min long, text_max long, main boolean, bad boolean"
+TOKENS = "host string, path string, v1 long, v2 long, pages long, once long, first_min int, first_max int, chars long, links long, text_min long, text_max long, page_min long, page_max long, main boolean, bad boolean"
+
+
+_LINK = re.compile(r"/a(?:[./#]|$)")
+
+
+def in_link(path: str) -> bool:
+    return _LINK.search(path) is not None
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Per host and tag token: sums of its vector, pages that have it, pages that have it once, first places, text right in it. Also under host null, for all pages."""
+    """Per host and tag token: sums of its vector, pages that have it, pages that have it once, first places, text right in it, all text of those pages. Also under host null, for all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str | None, str], list] = {}
@@ -183,29 +195,29 @@ def tokens(pages: DataFrame) -> DataFrame:
                 count: Counter[str] = Counter()
                 seen: dict[str, list] = {}
                 place = 0
+                whole = xxhash.xxh64()
                 for kind, node, text in walk(page):
                     if kind == "open":
                         count[node.path] += 1
                         if node.path not in seen:
-                            seen[node.path] = [place, 0, 0, [], node.article, node.bad]
+                            seen[node.path] = [place, 0, 0, None, node.article, node.bad]
                         place += 1
                     elif kind == "text" and (s := text.strip()):
-                        # text counts for each element around it
-                        path = node.path
-                        while path:
-                            if path in seen:
-                                seen[path][1] += len(s)
-                                seen[path][2] += len(s) * (node.name == "a")
-                                if len(seen[path][3]) < 64:
-                                    seen[path][3].append(s)
-                            path = path.rpartition("/")[0]
+                        if not node.bad:
+                            whole.update(s + "\0")
+                        if (x := seen.get(node.path)) is not None:
+                            x[1] += len(s)
+                            x[2] += len(s) * in_link(node.path)
+                            x[3] = x[3] or xxhash.xxh64()
+                            x[3].update(s + "\0")
+                p = whole.intdigest() >> 1
                 for path, (first, chars, links, texts, main, bad) in seen.items():
                     h = xxhash.xxh64_intdigest(f"{ident} {count[path]}")
-                    t = xxhash.xxh32_intdigest("\0".join(texts))
+                    t = texts.intdigest() >> 1 if texts else 0
                     for host in (split_url(url)[0], None):
                         x = found.get((host, path))
                         if x is None:
-                            x = found[host, path] = [0, 0, 0, 0, first, first, 0, 0, t, t, main, bad]
+                            x = found[host, path] = [0, 0, 0, 0, first, first, 0, 0, t, t, p, p, main, bad]
                         x[0] += h & 0x7FFFFFFF
                         x[1] += (h >> 31) & 0x7FFFFFFF
                         x[2] += 1
@@ -214,6 +226,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                         x[6] += chars
                         x[7] += links
                         x[8], x[9] = min(x[8], t), max(x[9], t)
+                        x[10], x[11] = min(x[10], p), max(x[11], p)
                 if len(found) >= 50_000:
                     yield table(found)
                     found = {}
@@ -222,18 +235,20 @@ def tokens(pages: DataFrame) -> DataFrame:
 
     def table(found: dict) -> pa.RecordBatch:
         cols = list(zip(*((host, path, *x) for (host, path), x in found.items()), strict=True))
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.bool_()]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
     rows = in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), run, TOKENS)
     total = [F.sum(c).alias(c) for c in ("v1", "v2", "pages", "once", "chars", "links")]
-    ends = [F.min("first_min").alias("first_min"), F.max("first_max").alias("first_max"), F.min("text_min").alias("text_min"), F.max("text_max").alias("text_max"), F.max("main").alias("main"), F.max("bad").alias("bad")]
+    ends = [F.min("first_min").alias("first_min"), F.max("first_max").alias("first_max"), F.min("text_min").alias("text_min"), F.max("text_max").alias("text_max"), F.min("page_min").alias("page_min"), F.max("page_max").alias("page_max"), F.max("main").alias("main"), F.max("bad").alias("bad")]
     return rows.groupBy("host", "path").agg(*total, *ends)
 
 
 def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.9) -> DataFrame:
-    """(host, main array<string>, drop array<string>): the slots of each host's template; host null: of all pages."""
-    toks = tokens(pages)
+    """(host, main array<string>, drop array<string>, keep array<string>): the slots of each host's template; host null: of all pages.
+    keep: slots inside those of drop that aren't boilerplate."""
+    every = stored(tokens(pages), "tokens")
+    toks = every
     host = Window.partitionBy("host")
     toks = toks.withColumn("of", F.max("pages").over(host))
     toks = toks.filter((F.col("of") >= least_pages) | F.col("host").isNull())
@@ -246,14 +261,30 @@ def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.9) -> D
     toks = toks.withColumn("low", low).withColumn("high", high).withColumn("valid", F.min((F.col("low") == F.col("high")).cast("int")).over(cls) == 1)
     toks = toks.filter("valid and size > 1 and once = pages")
     last = F.element_at(F.split("path", "/"), -1)
+    slots = stored(toks.filter(~F.regexp_extract(last, r"^[^.#]*", 0).isin(*INLINE)).select("host", "path", "pages", "main", "bad", "page_min", "page_max", F.xxhash64("path").alias("slot")), "slots")
+    # the slot next around each text
+    parts = F.split("path", "/")
+    around = F.posexplode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.xxhash64(F.array_join(F.slice(parts, F.lit(1), k), "/")))).alias("depth", "slot")
+    texts = every.filter("chars > 0 and not bad").select("host", F.xxhash64("path").alias("at"), F.col("pages").alias("n"), "chars", "links", (F.col("text_min") == F.col("text_max")).alias("same"), around)
+    of = slots.select(F.col("host").alias("h"), F.col("slot").alias("s"), "pages")
+    texts = texts.join(of, texts["host"].eqNullSafe(F.col("h")) & (F.col("slot") == F.col("s")))
+    texts = texts.groupBy("host", "at").agg(F.max_by(F.struct("slot", "chars", "links", (F.col("same") & (F.col("n") == F.col("pages"))).alias("same")), "depth").alias("x"))
+    own = texts.groupBy(F.col("host").alias("h"), F.col("x.slot").alias("s")).agg(F.sum("x.chars").alias("chars"), F.sum("x.links").alias("links"), F.min("x.same").alias("same"))
+    slots = slots.join(own, slots["host"].eqNullSafe(F.col("h")) & (F.col("slot") == F.col("s")), "left")
     is_main = last.rlike(r"^(article|main)\b") & ~F.col("bad")
     has_main = F.max(is_main.cast("int")).over(host) == 1
-    constant = (F.col("text_min") == F.col("text_max")) & (F.col("pages") > 1) & (F.col("chars") > 0)
+    # copies of one page don't tell what is constant
+    constant = F.col("same") & (F.col("page_min") < F.col("page_max"))
     linked = F.col("links") > F.col("chars") * 0.5
-    is_drop = ~F.col("main") & (F.col("bad") | (~has_main & (constant | linked) & ~last.rlike(r"^(html|body)\b")))
-    toks = toks.withColumn("is_main", is_main).withColumn("is_drop", is_drop)
+    judged = F.coalesce(~F.col("bad") & ~has_main & (constant | linked) & ~last.rlike(r"^(html|body)\b"), F.lit(False))
+    slots = slots.withColumn("is_main", is_main).withColumn("is_drop", ~F.col("main") & (F.col("bad") | judged)).withColumn("is_keep", ~F.col("is_drop") & ~F.col("bad"))
     paths = lambda flag: F.array_sort(F.collect_set(F.when(F.col(flag), F.col("path"))))
-    return toks.groupBy("host").agg(paths("is_main").alias("main"), paths("is_drop").alias("drop"))
+    out = slots.groupBy("host").agg(paths("is_main").alias("main"), paths("is_drop").alias("drop"), paths("is_keep").alias("keep"))
+    return out.withColumn("keep", F.filter("keep", lambda k: F.exists("drop", lambda d: F.startswith(k, F.concat(d, F.lit("/"))))))
+
+
+#: The columns of a template.
+SLOTS = ("main", "drop", "keep")
 
 
 def extract(pages: DataFrame, least_pages: int = 3, support: float = 0.9, broadcast_hosts: int = 20_000) -> DataFrame:
@@ -261,10 +292,10 @@ def extract(pages: DataFrame, least_pages: int = 3, support: float = 0.9, broadc
     found = stored(templates(pages, least_pages, support), "templates")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     common = found.filter("host is null").first()
-    default = (frozenset(common["main"]), frozenset(common["drop"])) if common else (frozenset(), frozenset())
+    default = tuple(frozenset(common[k]) for k in SLOTS) if common else ()
     own = found.filter("host is not null")
     few = own.count() <= broadcast_hosts
-    known = pages.sparkSession.sparkContext.broadcast({r["host"]: (frozenset(r["main"]), frozenset(r["drop"])) for r in own.toLocalIterator()} if few else {})
+    known = pages.sparkSession.sparkContext.broadcast({r["host"]: tuple(frozenset(r[k]) for k in SLOTS) for r in own.toLocalIterator()} if few else {})
     if not few:
         rows = rows.withColumn("host", host_and_path(F.col("url"))[0]).join(own, "host", "left")
 
@@ -274,7 +305,7 @@ def extract(pages: DataFrame, least_pages: int = 3, support: float = 0.9, broadc
             if few:
                 slots = [known.value.get(split_url(u)[0], default) for u in urls]
             else:
-                slots = [default if m is None else (frozenset(m), frozenset(d)) for m, d in zip(b.column("main").to_pylist(), b.column("drop").to_pylist(), strict=True)]
+                slots = [default if x[0] is None else tuple(map(frozenset, x)) for x in zip(*(b.column(k).to_pylist() for k in SLOTS), strict=True)]
             texts = [main_text(page, *s) for page, s in zip(b.column("html").to_pylist(), slots, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -155,6 +155,21 @@ def test_html_template_without_article(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == {i: f"Story {i} tells of {i * 7}." for i in range(6)}
 
 
+def test_html_wrapper_with_a_large_menu(spark):
+    links = lambda n: "".join(f"<li><a href='/{k}'>Part <b>number</b> {k}</a></li>" for k in range(n))
+    body = lambda i, n: f"<html><body><div id='wrap'><ul class='x'>{links(n)}</ul><div class='story'><p>Story {i} tells.</p><p>See <a href='/'>more of {i}</a> here.</p></div><p class='y'>Seen by all</p></div></body></html>"
+    pages = [(i, "http://few.example/", body(i, 20)) for i in range(5)] + [(10 + i, "http://many.example/", body(i, 80)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extract(table(spark, pages, "page_id long, url string, html string")).collect()}
+    assert got == {k + i: f"Story {i} tells.\nSee more of {i} here." for k in (0, 10) for i in range(5)}
+
+
+def test_html_copies_of_one_page(spark):
+    body = "<html><body><div class='top'><a href='/'>Home</a></div><div class='story'><p>The only story.</p></div></body></html>"
+    pages = [(i, "http://copies.example/", body) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extract(table(spark, pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "The only story." for i in range(5)}
+
+
 def test_html_whole_table(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
