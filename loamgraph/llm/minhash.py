@@ -12,8 +12,8 @@ similarity. 20 bands of 6 rows meet a pair of similarity 0.8 with probability 0.
 Candidates: texts with equal words are one node. In a band's bucket of up to ``whole`` nodes all pairs are
 candidates. A larger bucket pairs each node with two centres, its least node in one fixed order and its hub
 (the node with most neighbours over all bands), found by partial aggregation, so a bucket of n nodes makes at
-most 2n pairs. Nodes that end up linked to neither centre's class (texts that share a common passage, mostly)
-are compared exactly with all nodes of their large buckets by prefix filtering: elements are ordered from rare to
+most 2n pairs. If its nodes then belong to several classes, those outside its largest class (texts that share a common
+passage, mostly) are compared exactly with all nodes of their large buckets, so every pair of two classes is, by prefix filtering: elements are ordered from rare to
 common, and a pair of the wanted similarity must share one of the first n - ceil(0.8 n) + 1 of either. Pairs are
 kept only if their exact similarity is 0.8 or more.
 
@@ -172,12 +172,11 @@ def elements_of(texts: DataFrame, one: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def unlinked(many: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node) of large buckets whose node is in the class of neither centre."""
-    label = lambda node, name: labels.select(F.col("node").alias(node), F.col("label").alias(name))
-    rest = many.select("key", "node", F.col("least.node").alias("c1"), F.col("hub.node").alias("c2")).filter((F.col("node") != F.col("c1")) & (F.col("node") != F.col("c2")))
-    rest = rest.join(label("node", "own"), "node", "left").join(label("c1", "l1"), "c1", "left").join(label("c2", "l2"), "c2", "left")
-    apart = lambda c: F.coalesce(F.col("own") != F.col(c), F.lit(True))
-    return rest.filter(apart("l1") & apart("l2")).select("key", "node")
+    """(key, node) of large buckets whose node is outside the bucket's largest class. Of two nodes in different classes one is here at least."""
+    own = many.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("own"))
+    sizes = own.groupBy("key", "own").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "own")).alias("x")).select("key", F.col("x.own").alias("largest"))
+    return own.join(largest, "key").filter("own != largest").select("key", "node")
 
 
 #: Counters of how common elements are.

@@ -220,6 +220,20 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_every_pair_of_classes_in_a_large_bucket_is_compared(spark):
+    name = lambda x: x.encode()
+    of = {**{c: "a" for c in "abcde"}, **{c: "p" for c in "pqrs"}, "y": "y", "z": None}
+    centre = lambda c: (name(c), 10)
+    rows = [(k, name(c), 10, centre("a"), centre("p")) for k, members in ((1, of), (2, "abcde"), (3, "apqyz")) for c in members]
+    many = table(spark, rows, "key long, node binary, n int, least struct<node: binary, n: int>, hub struct<node: binary, n: int>")
+    labels = table(spark, [(name(c), name(x)) for c, x in of.items() if x], "node binary, label binary")
+    asked = {(r["key"], bytes(r["node"]).decode()) for r in minhash.unlinked(many, labels).collect()}
+    label = lambda c: of[c] or c
+    members = {k: [bytes(c).decode() for j, c, *_ in rows if j == k] for k in (1, 2, 3)}
+    assert all((k, x) in asked or (k, y) in asked for k, m in members.items() for x in m for y in m if label(x) != label(y))
+    assert not any(k == 2 for k, _ in asked)
+
+
 def test_signatures_estimate_weighted_similarity():
     texts = ["a b c d e f g h i j " * 3, "a b c d e f g h i j " * 2 + "k l m n"]
     sets = [shingle_set(t) for t in texts]
