@@ -4,8 +4,8 @@ A page is a sequence of tag tokens, each known by its path of elements (with cla
 occurrence vectors over the pages of one host are equal form an equivalence class. A vector is never held: its two
 31-bit sums of hashed (page, count) stand for it, so classes come from one partial aggregation over (host, token).
 A class is valid if its tokens keep one order over the pages (their least and their greatest first places sort
-alike). The valid class of tokens that occur once in (almost) every page is the template's skeleton; classes whose
-tokens lie below a skeleton token's path nest in the slot after it. Hosts with fewer than ``least_pages`` pages take the
+alike). The valid classes of tokens that occur once in (almost) every page are the template's skeleton. Classes of lower support
+or of repeated tokens are not used, and classes aren't nested. Hosts with fewer than ``least_pages`` pages take the
 template that is deduced over all pages.
 
 Slots are the skeleton's elements but inline ones; a text belongs to the slot next around it. A slot is boilerplate if its
