@@ -1,6 +1,6 @@
 """The registered queries of the engine over the fixture views, and the SQL that each must agree with.
 
-Every query runs over whole tables. The SQL is written on its own, from the meaning of each operator, so that it checks the plans.
+Queries run over whole fixture views; fx_deps, behind the dependency and graph queries, holds two of 20 order classes of lineitem. The SQL is written on its own, from the meaning of each operator, so that it checks the plans.
 """
 
 from __future__ import annotations
