@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loamgraph-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
@@ -41,6 +43,59 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one in so many of all rows is hot; there are at most so many hot keys.
+HOT = 2000
+
+
+def split_join(rows: DataFrame, unique: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with unique, which has one row per key and in ``count`` how many of the ``total`` rows hold it; both are stored tables.
+
+    Keys with more than total / HOT rows, at most HOT of them, meet their rows by broadcast, whatever their share; the others by shuffle, where
+    no key is then large."""
+    few = F.col(count) > max(1, total // HOT)
+    hot, rest = F.broadcast(unique.filter(few)), unique.filter(~few)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest.hint("merge"), key, how))
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], counted: DataFrame | None = None, salts: int = 64, least: int = 1000) -> DataFrame:
+    """rows joined with unique, which has one row per keys, of any width. counted: a stored table with the same keys as rows, by default rows. Keys with more than total / HOT rows (and more
+    than ``least``) are counted first: their row of unique is copied once per salt, and theirs of rows are dealt to the salts."""
+    counted = rows if counted is None else counted
+    limit = max(least, counted.count() // HOT)
+    hot = F.broadcast(stored(counted.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(*keys, F.lit(True).alias("__hot")), "hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*counted.columns), F.lit(salts))).otherwise(0)
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", salt.cast("int"))
+    each = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    copied = unique.join(hot, keys, "left").withColumn("__salt", each).drop("__hot")
+    return dealt.join(copied.hint("merge"), [*keys, "__salt"]).drop("__hot", "__salt")
+
+
+#: Bits of a KeyFilter, whatever the input: 2 ** 19 words of 64 bits at most, 8 MB.
+FILTER_BITS = 25
+
+
+class KeyFilter:
+    """A set of keys as a bit table of fixed size (a Bloom filter of one hash), to leave out of a scan most rows whose key isn't in it. Some others
+    pass, all of them if there are far more keys than bits, so a join must follow where that matters."""
+
+    def __init__(self, keys: DataFrame, key: Column, name: str, bits: int = FILTER_BITS):
+        self.bits = bits
+        words = keys.select(*self._place(key)).groupBy("__word").agg(F.expr("bit_or(shiftleft(1L, __bit))").alias("__bits"))
+        self.words = stored(words, name)
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(key)
+        return F.shiftrightunsigned(h, 64 - self.bits + 6).alias("__word"), h.bitwiseAND(F.lit(63)).cast("int").alias("__bit")
+
+    def flagged(self, rows: DataFrame, key: Column, flag: str) -> DataFrame:
+        """rows with a column flag: false only if the key isn't in the set. Nothing is shuffled."""
+        out = rows.select("*", *self._place(key)).join(F.broadcast(self.words), "__word", "left")
+        return out.withColumn(flag, F.coalesce(F.expr("shiftright(__bits, __bit) & 1L = 1L"), F.lit(False))).drop("__word", "__bit", "__bits")
+
+    def passed(self, rows: DataFrame, key: Column) -> DataFrame:
+        return self.flagged(rows, key, "__in").filter("__in").drop("__in")
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if the table has been counted to at most max_rows rows of bounded width; the plain table otherwise."""
     return F.broadcast(df) if df.count() <= max_rows else df
