@@ -29,8 +29,8 @@ base AS (SELECT rid, a, 0 AS k, a + length(s) AS b, 'assign' AS kind FROM assign
 c AS (SELECT row_number() OVER () AS cid, rid, a, s, regexp_matches(s, '^([0-9a-f]*|[0-9A-F]*)$') AS h FROM cand_f WHERE NOT ({allow})),
 win AS (SELECT cid, rid, a, h, i, unnest(string_split(substr(s, i + 1, 20), '')) AS ch FROM (SELECT *, unnest(range(0, length(s) - 19)) AS i FROM c)),
 ent AS (SELECT cid, rid, a, h, i, -sum(n / 20.0::DOUBLE * log2(n / 20.0::DOUBLE)) AS e FROM (SELECT cid, rid, a, h, i, ch, count(*) AS n FROM win GROUP BY ALL) GROUP BY ALL),
-hot AS (SELECT *, CASE WHEN i - lag(i) OVER w <= 20 THEN 0 ELSE 1 END AS fresh FROM ent WHERE e >= CASE WHEN h THEN 3.0 ELSE 3.8 END - 1e-9 WINDOW w AS (PARTITION BY cid ORDER BY i)),
+hot AS (SELECT *, CASE WHEN i - lag(i) OVER w <= 20 THEN 0 ELSE 1 END AS fresh FROM ent WHERE e >= CASE WHEN h THEN 3.0 ELSE 3.8 END - 1e-9 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = ent.rid AND b.a < ent.a + i + 20 AND ent.a + i < b.b) WINDOW w AS (PARTITION BY cid ORDER BY i)),
 more AS (SELECT rid, x.a + min(i) AS a, CASE WHEN h THEN 3 ELSE 4 END AS k, x.a + max(i) + 20 AS b, CASE WHEN h THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind FROM (SELECT *, sum(fresh) OVER (PARTITION BY cid ORDER BY i) AS island FROM hot) x GROUP BY cid, rid, x.a, h, island),
-spans AS (SELECT * FROM base UNION ALL SELECT m.* FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.a < m.b AND m.a < b.b)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
 j AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(concat_ws(':', kind, a, b), ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(concat_ws(':', kind, a, b), ',' ORDER BY a, k) AS spans FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (rid)"""
