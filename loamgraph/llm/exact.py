@@ -7,11 +7,12 @@ and the row's place in it. Rows meet the state through partial aggregation, so c
 read and a text that a third of all rows share reaches its state as one row per task and batch.
 
 A digest seen more than once is a hit. Hits are checked on full bytes: their texts are joined with the text at the
-locator and compared. Rows of the same digest but other bytes (a collision) are grouped anew by their whole text.
+locator and compared. A bit table of fixed size tells hits from most other rows in the scan, so other texts stay where they are. Rows of the same digest but other bytes (a collision) are grouped anew by their whole text.
 Both joins are plain equi-joins, which adaptive execution splits where one digest is hot.
 
 ``dedup`` runs the stream to the end of what is there (availableNow) and returns every row's decision. A later run
-with the same ``folder`` continues from its checkpoint: state and counts carry on over files that were added.
+with the same ``folder`` continues from its checkpoint: state and counts carry on over files that were added. What a run
+writes besides state is in scratch tables of its own, so runs don't meet each other's.
 
 Null text counts as empty; empty texts are equal to each other. A null doc_id is smaller than any other. Rows that
 repeat with the same doc_id are all members; those with keep_id's doc_id are all kept. Extra columns are ignored;
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, text_of
+from .common import KeyFilter, ascii_lower, scratch, stored, text_of
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -71,24 +72,22 @@ def dedup(spark: SparkSession, path: str, folder: str | None = None, digest=None
     digest = digest or digest_bits()
     folder = folder or scratch(spark, "exact")
     update_state(spark, path, folder, digest)
-    rows = _rows(spark.read.parquet(path), digest)
     # Counts only grow, so a key's last change is its largest.
     hits = spark.read.schema("digest string, n long, keep struct<doc_id:long,at:struct<file:string,row:long>>").parquet(f"{folder}/changes")
-    hits = hits.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).filter("s.n > 1").select("digest", "s.n", "s.keep")
-    hits.write.parquet(f"{folder}/hits")
-    hits = spark.read.schema(hits.schema).parquet(f"{folder}/hits")
-    full = F.sha2("norm", 256)
+    hits = stored(hits.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).filter("s.n > 1").select("digest", "s.n", "s.keep"), "exact-hits")
+    # One scan writes ids, locators and digests of all rows, and texts of hits only; no other text is shuffled.
+    rows = _rows(spark.read.parquet(path), digest).withColumn("text_sha256", F.sha2("norm", 256))
+    rows = KeyFilter(hits, F.col("digest"), "exact-filter").flagged(rows, F.col("digest"), "hit")
+    rows = stored(rows.withColumn("norm", F.when(F.col("hit"), F.col("norm"))), "exact-rows")
     # by shuffle at every size: whether the hits would fit a broadcast depends on the input
-    tied = rows.join(hits.hint("merge"), "digest", "left").select("doc_id", "at", "digest", "n", "keep", full.alias("text_sha256"), F.when(F.col("n").isNotNull(), F.col("norm")).alias("norm"))
-    tied.write.parquet(f"{folder}/rows")
-    tied = spark.read.schema(tied.schema).parquet(f"{folder}/rows")
+    tied = stored(rows.filter("hit").join(hits.hint("merge"), "digest", "left").withColumn("norm", F.when(F.col("n").isNotNull(), F.col("norm"))), "exact-tied")
     several = tied.filter("n is not null")
     keepers = several.filter(F.col("at") == F.col("keep.at")).select("digest", F.col("norm").alias("kept_norm"))
-    checked = several.join(keepers, "digest").select("doc_id", "digest", "n", F.col("keep.doc_id").alias("keep_id"), "text_sha256", (F.col("norm") == F.col("kept_norm")).alias("same"), F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("norm"))
-    checked.write.parquet(f"{folder}/checked")
-    checked = spark.read.schema(checked.schema).parquet(f"{folder}/checked")
+    same = F.col("norm") == F.col("kept_norm")
+    checked = stored(several.join(keepers, "digest").select("doc_id", "digest", "n", F.col("keep.doc_id").alias("keep_id"), "text_sha256", same.alias("same"), F.when(~same, F.col("norm")).alias("norm")), "exact-checked")
     cols = ("doc_id", "keep_id", "group_size", "text_sha256")
-    alone = tied.filter("n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    alone = rows.filter("not hit").select("doc_id", "text_sha256").unionByName(tied.filter("n is null").select("doc_id", "text_sha256"))
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     others = checked.filter("not same")
     if others.isEmpty():
         grouped = checked.select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256")
