@@ -15,8 +15,8 @@ neighbours. Runs of matched lines that are contiguous in both documents are comm
 order) is looked up by windows of the earlier document, so a line is deleted exactly if it stands in a run of at least
 ``block_words`` words that an earlier document holds as well. The earlier keeps its text.
 
-Both joins that carry sequences to pairs are equi-joins that adaptive execution splits; a sequence is bounded by its
-document. Lines are compared trimmed of white space at the ends. Null text counts as empty and stays null. Rows that repeat a
+Hot lines, hot windows and the holders of hot passages are counted; they meet their rows by broadcast of at most a fixed number of keys, or
+salted. A sequence is bounded by its document. Texts that lose nothing are never shuffled: a bit table of fixed size tells them in the scan. Lines are compared trimmed of white space at the ends. Null text counts as empty and stays null. Rows that repeat a
 (doc_id, text) are one document: treated alike, and never compared with each other. A null doc_id comes first in the order.
 A document of one line may lose all of its text, which becomes empty. Extra columns stay as they are; empty tables
 give no rows.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import in_batches, mix64
-from .common import SPACE, stored
+from .common import SPACE, KeyFilter, salted_join, split_join, stored
 
 KEY = ("__loam_id", "__loam_h")
 
@@ -157,8 +157,8 @@ def repeated_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
     lines = lines.select(*KEY, "n", "x.pos", F.xxhash64("x.line").alias("hash"), F.regexp_count("x.line", F.lit(f"[^{SPACE}]+")).alias("words"))
     lines = stored(lines, "lines")
     doc = F.struct(*KEY)
-    shared = lines.groupBy("hash").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first != last").select("hash", "first")
-    held = stored(lines.join(shared, "hash"), "held")
+    shared = stored(lines.groupBy("hash").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.count("*").alias("of")).filter("first != last").select("hash", "of"), "shared")
+    held = stored(split_join(lines, shared, "hash", "of", lines.count()), "held")
     sequences = stored(held.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("n", "hash", "words", "pos"))).alias("seq")), "sequences")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +174,12 @@ def repeated_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
 
     # a shared window has shared lines only, so the sequences of shared lines hold them all
     runs = stored(in_batches(sequences, cut, "__loam_id long, __loam_h long, window long").distinct(), "windows")
-    again = runs.groupBy("window").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first != last").select("window", "first")
-    pairs = runs.join(again, "window").filter(doc != F.col("first")).select(*KEY, F.col("first.__loam_id").alias("e_id"), F.col("first.__loam_h").alias("e_h")).distinct()
-    both = pairs.join(sequences, [*KEY]).join(sequences.select(F.col("__loam_id").alias("e_id"), F.col("__loam_h").alias("e_h"), F.col("seq").alias("e_seq")), ["e_id", "e_h"])
+    again = stored(runs.groupBy("window").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.count("*").alias("of")).filter("first != last").select("window", "first", "of"), "again")
+    pairs = split_join(runs, again, "window", "of", runs.count()).filter(doc != F.col("first")).select(*KEY, F.col("first.__loam_id").alias("e_id"), F.col("first.__loam_h").alias("e_h")).distinct()
+    pairs = stored(pairs, "pairs")
+    # the first holder of a hot passage is the earlier one of many pairs
+    earlier = sequences.select(F.col("__loam_id").alias("e_id"), F.col("__loam_h").alias("e_h"), F.col("seq").alias("e_seq"))
+    both = salted_join(pairs.join(sequences, [*KEY]), earlier, ["e_id", "e_h"], pairs)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,13 +201,22 @@ def _rows(seq: pa.ListArray) -> list[list[tuple[int, int, int, int]]]:
     return [rows[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def dedup_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
-    """The rows of docs with text shortened, plus n_lines and n_cut (long)."""
+def dedup_lines(docs: DataFrame, block_words: int = 20, counts: tuple[str, str, str] = ("n_lines", "n_cut", "share_left")) -> DataFrame:
+    """The rows of docs with text shortened, plus three columns named by counts: lines, lines cut (both long) and the share of characters left
+    (1 for an empty text). Columns of docs with those names are replaced, so name others where that matters."""
     rows = keyed(docs)
     cuts = stored(repeated_lines(rows.select(*KEY, "text"), block_words), "cuts")
+    some = KeyFilter(cuts, F.xxhash64(*KEY), "cuts-filter").flagged(rows, F.xxhash64(*KEY), "__loam_some")
     # by shuffle at every size: whether the cuts would fit a broadcast depends on the input
-    out = rows.join(cuts.hint("merge"), [*KEY], "left")
-    cut = F.coalesce("__loam_cut", F.array().cast("array<int>"))
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(cut, i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")).withColumn("n_cut", F.size(cut).cast("long"))
-    return out.withColumn("text", F.when(F.col("__loam_cut").isNull(), F.col("text")).otherwise(left)).drop(*KEY, "__loam_cut")
+    cut = some.filter("__loam_some").join(cuts.hint("merge"), [*KEY], "left")
+    out = some.filter("not __loam_some").withColumn("__loam_cut", F.lit(None).cast("array<int>")).unionByName(cut)
+    gone = F.coalesce("__loam_cut", F.array().cast("array<int>"))
+    # both are in order, so what is left is put together from the ranges between cuts
+    whole = _lines(F.col("text"))
+    edges = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(whole)))
+    left = F.flatten(F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda a, b: F.slice(whole, a + 2, b - a - 1)))
+    lines, n_cut, share = counts
+    short = F.when(F.col("__loam_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    kept = F.when(F.coalesce(F.char_length("text"), F.lit(0)) == 0, 1.0).otherwise(F.char_length("__loam_text") / F.char_length("text"))
+    out = out.withColumn("__loam_text", short).withColumns({lines: F.when(F.col("text").isNull(), 0).otherwise(F.size(whole)).cast("long"), n_cut: F.size(gone).cast("long"), share: kept})
+    return out.withColumn("text", F.col("__loam_text")).drop(*KEY, "__loam_cut", "__loam_some", "__loam_text")
