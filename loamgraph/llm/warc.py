@@ -2,8 +2,9 @@
 
 An archive file starts with a skippable frame (magic 0x184D2A5D) that holds a Zstandard dictionary; after it
 each record is one frame of its own compressed with that dictionary, so a reader needs nothing but the file
-and can start at any frame. The dictionary is built on the driver from archived records: at most
-``sample_rows`` of them (in order of a digest of their ids), each cut to ``sample_bytes`` for this purpose only.
+and can start at any frame. The dictionary is built on the driver from records as they are archived, headers included: at most
+``sample_rows`` of them (in order of a digest of their ids), each cut to ``sample_bytes`` for this purpose only. A response holds an HTTP
+message, a revisit names the response's record.
 
 Of rows with equal payloads of at least ``least`` bytes the one with the largest page_id is a response; the
 others are revisits that name it. Rows that share that page_id as well are all responses. Smaller payloads are
@@ -57,31 +58,40 @@ def decided(pages: DataFrame, least: int = 1000) -> DataFrame:
     return out.select("page_id", "url", "payload", "payload_bytes", "sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def header(kind: str, page_id: int | None, url: str | None, sha1: str, n: int, refers_to: int | None, body: int) -> bytes:
-    ident = "" if page_id is None else str(page_id)
+#: What stands before each payload in a response: records hold HTTP messages.
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+
+
+def record_id(page_id: int | None, sha1: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{'' if page_id is None else page_id} {sha1}')}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, sha1: str, n: int, refers_to: int | None, payload: bytes) -> bytes:
+    """A whole record. A revisit holds no payload but names the response by its record id."""
+    body = HTTP + payload if kind == "response" else b""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{ident} {url or ""} {sha1}')}>",
+        f"WARC-Record-ID: {record_id(page_id, sha1)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
-        f"X-Page-Id: {ident}",
+        f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {n}",
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {body}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(body)}",
     ]
     if kind == "revisit":
-        lines[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n"
+        lines[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, sha1)}", f"X-Refers-To-Page-Id: {refers_to}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def dictionary(pages: DataFrame, sample_rows: int = 2000, sample_bytes: int = 8192, size: int = 64 << 10) -> bytes:
-    """Trained on a bounded sample; empty if the sample is too small to train on."""
-    html = F.substring(F.coalesce(F.col("html"), F.lit("")), 1, sample_bytes)
+    """Trained on the records of a bounded sample, each cut to sample_bytes; empty if the sample is too small to train on."""
+    html = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, sample_bytes)
     ids = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
-    sample = pages.join(F.broadcast(ids.distinct()), "page_id", "left_semi").select("page_id", html.alias("html")).orderBy("page_id", "html")
-    parts = [r["html"].encode()[:sample_bytes] for r in sample.limit(sample_rows).toLocalIterator() if r["html"]]
+    sample = pages.join(F.broadcast(ids.distinct()), "page_id", "left_semi").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).orderBy("page_id", "html")
+    parts = [record("response", r["page_id"], r["url"], hashlib.sha1(r["html"].encode()).hexdigest(), len(r["html"]), None, r["html"].encode())[:sample_bytes] for r in sample.limit(sample_rows).toLocalIterator() if r["html"]]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 8 else b""
     except zstandard.ZstdError:
@@ -130,9 +140,8 @@ def write(pages: DataFrame, folder: str, least: int = 1000, **how: int) -> list[
         writer, names = Writer(folder, f"part-{TaskContext.get().partitionId():05d}", words.value), []
         for b in slices(batches, "payload"):
             for page, url, payload, n, sha1, kind, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "sha1", "record_type", "refers_to")), strict=True):
-                body = payload if kind == "response" else b""
                 before = writer.n
-                writer.add(header(kind, page, url, sha1, n, refers, len(body)) + body + b"\r\n\r\n")
+                writer.add(record(kind, page, url, sha1, n, refers, payload))
                 if writer.n > before:
                     names.append(writer.name)
         if last := writer.close():
@@ -178,6 +187,7 @@ def read(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
                 rows, held = [], 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for h, body in records(stream):
+                        body = body.removeprefix(HTTP)
                         digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         if h["WARC-Type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
                             raise ValueError(f"{path}: the payload of {h['X-Page-Id']} doesn't match its digest")
