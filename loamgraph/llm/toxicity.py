@@ -5,7 +5,7 @@ w0 + sum w_i + sum_{i<j} <v_i, v_j>, whose second part learns pairs such as an i
 group; it is trained by Adagrad on logistic loss on the driver, from a sample of at most ``max_rows`` labelled
 rows (in order of a digest of their ids), each reduced on the executors to its hashed terms, of which the sample
 keeps rows until ``max_terms`` terms are reached. Those two parameters bound the driver's memory whatever the
-input's size. Scoring reads every whole text, in bounded slices, with the model in the task closure
+input's size. Terms enter the model for what they tell alone or, like the mention of a group, only beside another. Scoring reads every whole text, in bounded slices, with the model in the task closure
 (2 ** bits x (factors + 1) floats).
 
 Null and empty texts have no terms and score sigmoid(w0). Repeated rows repeat. Labels with a null id or label are
@@ -62,9 +62,39 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(offsets, cols), -40, 40)))
 
 
-def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 5, least_z: float = 4.0, least_steps: int = 2000, seed: int = 0) -> Machine:
-    """Adagrad over shuffled batches of rows. Columns seen in fewer than least_rows rows, or whose count in label 1 is within
-    least_z deviations of chance, stay out of the model: in long texts thousands of such terms would drown the telling ones."""
+def paired(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, alone: np.ndarray, least_z: float, most: int) -> np.ndarray:
+    """Columns that don't tell alone but do in a pair: rows with both columns have label 1 more or less often, by least_z deviations, than the
+    two shares of label 1 add up to. All pairs of ``most`` columns are tested, a third of them the most telling ones, the rest the most varied."""
+    n, share = len(labels), labels.mean()
+    varied = seen * (n - seen).astype(float)
+    telling = np.flatnonzero(alone)
+    telling = telling[np.argsort(-varied[telling], kind="stable")[: most // 3]]
+    others = np.flatnonzero(~alone & (seen >= 20))
+    others = others[np.argsort(-varied[others], kind="stable")[: most - len(telling)]]
+    if not len(others):
+        return others
+    some = np.concatenate([others, telling])
+    to = np.full(len(seen), -1)
+    to[some] = np.arange(len(some))
+    both, hit = (np.zeros((len(others), len(some)), np.float32) for _ in range(2))
+    for at in range(0, n, 1000):
+        end = min(n, at + 1000)
+        col = to[cols[offsets[at] : offsets[end]]]
+        x = np.zeros((end - at, len(some)), np.float32)
+        row = np.repeat(np.arange(end - at), np.diff(offsets[at : end + 1]))
+        x[row[col >= 0], col[col >= 0]] = 1
+        both += x[:, : len(others)].T @ x
+        hit += x[:, : len(others)].T @ (x * labels[at:end, None].astype(np.float32))
+    of = toxic[some] / np.maximum(seen[some], 1)
+    due = np.clip(of[: len(others), None] + of[None, :] - share, 0.02, 0.98)
+    z = np.abs(hit - both * due) / np.sqrt(both * due * (1 - due) + 1)
+    z[np.arange(len(others)), np.arange(len(others))] = 0
+    return others[z.max(1) >= least_z]
+
+
+def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 5, least_z: float = 4.0, least_pair_z: float = 9.0, pair_columns: int = 1500, least_steps: int = 2000, seed: int = 0) -> Machine:
+    """Adagrad over shuffled batches of rows. A column takes part if it is seen in least_rows rows and tells by itself (its count in label 1
+    deviates from chance by least_z) or in a pair (see paired): in long texts thousands of other terms would drown the telling ones."""
     size = 1 << bits
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
@@ -74,7 +104,8 @@ def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 1
     share = labels.mean()
     toxic = np.bincount(cols, np.repeat(labels, np.diff(offsets)), size)
     z = (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
-    used = np.flatnonzero((seen >= least_rows) & (np.abs(z) >= least_z))
+    alone = (seen >= least_rows) & (np.abs(z) >= least_z)
+    used = np.union1d(np.flatnonzero(alone), paired(offsets, cols, labels, seen, toxic, alone, least_pair_z, pair_columns))
     to = np.full(size, -1)
     to[used] = np.arange(len(used))
     keep = to[cols] >= 0
