@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import in_batches, slices
+from .common import stored
 
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 _GAPS = re.compile(r"[\W_]+")
@@ -119,27 +120,27 @@ class Matcher:
                 yield ident, best[0], max(0, best[1] - len(item)), best[1]
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Items by id, in blocks of bounded characters; only one block is held at a time."""
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Items by id, in blocks of bounded characters, each with whether more follow; only one block is held at a time."""
     block, held = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         item = normalise(r["text"])
         if not item:
             continue
         if block and held + len(item) > block_chars:
-            yield block
+            yield block, True
             block, held = [], 0
         block.append((r["item_id"], item))
         held += len(item)
     if block:
-        yield block
+        yield block, False
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, distance, start, end) of every document row that holds an item; places are in the normalised text."""
     out = None
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    for block in blocks(benchmark, block_chars):
+    for block, more in blocks(benchmark, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate)
@@ -149,13 +150,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         found = in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), search, SCHEMA)
+        if out is not None or more:
+            # more than one block: each one's result is written before the next one is read, so the driver and tasks hold one block only
+            found = stored(found, "decontam")
         out = found if out is None else out.unionAll(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Nothing is shuffled."""
-    for block in blocks(benchmark, block_chars):
+    for block, more in blocks(benchmark, block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], block: list[tuple[int, str]] = block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate)
@@ -163,4 +167,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block
                 yield b.filter(pa.array([not t or next(matcher.find(normalise(t)), None) is None for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = in_batches(docs, keep, docs.schema)
+        if more:
+            docs = stored(docs, "clean")
     return docs

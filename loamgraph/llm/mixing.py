@@ -7,14 +7,13 @@ prefix of the sources in order of cap / weight, so one pass over that order give
 Order: Efraimidis-Spirakis keys -ln(u) / quality, u from a digest of the id, so reruns agree. Complete
 epochs come first; then a prefix of the source in key order, up to the remaining budget, is taken once more.
 
-Scale: no source is ever sorted in one task. Keys fall into ``buckets`` ranges a source; bucket sums are
+Scale: no source is ever sorted in one task. Keys fall into ``buckets`` ranges a source, one for every 20,000 rows of all; bucket sums are
 prefix-summed, whole buckets below the cut are taken, and only the one bucket of each source that holds
 the cut is ordered row by row. Texts are read once; all later passes see (id, size, source, key).
 
 Null text: size 0. Null source: a source of its own, last. Empty table: no rows. Sizes of 0: targets 0,
-nothing taken. Ties in key fall to id, then size; rows equal in all three are interchangeable. Extra
-columns are ignored by the query and kept by the operator's caller through a join on nothing: the operator
-returns the rows it was given plus its columns.
+nothing taken. A null id draws by the text's digest. Ties in key fall to id, then size; rows equal in all three are interchangeable. Extra
+columns are ignored: the operator returns one row per row it was given, with the columns that ``mix`` names.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ from .common import SPACE, small, stored, text_of
 
 #: Sources up to this number are broadcast as one row each.
 BROADCAST_SOURCES = 20_000
+#: Buckets are made for about so many rows; one bucket of each source is sorted.
+ROWS_PER_BUCKET = 20_000
 
 
 def words(text: Column) -> Column:
@@ -41,7 +42,7 @@ def quality(text: Column) -> Column:
 
 def uniform(ident: Column, seed: int) -> Column:
     """In (0, 1), from 52 bits of a digest of the id."""
-    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10)
+    h = F.conv(F.substring(F.md5(F.concat(ident.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10)
     return (h.cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -63,13 +64,16 @@ def targets(sizes: DataFrame, max_epochs: int = 3, budget: float | None = None,
     return df.select("source", "source_size", "weight", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, budget: float | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = 3, budget: float | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, buckets: int | None = None) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) for each row of docs (doc_id, source, text)."""
     t = text_of()
-    rows = docs.select("doc_id", "source", words(t).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality(t)).alias("key"))
-    # 1 - exp(-key) rises with key and spreads keys of weight 1 evenly.
-    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    # rows without an id draw by their text
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(t.cast("binary"))))
+    rows = docs.select("doc_id", "source", words(t).alias("size"), (-F.log(uniform(ident, seed)) / quality(t)).alias("key"))
     rows = stored(rows, "mix")
+    buckets = buckets or max(64, rows.count() // ROWS_PER_BUCKET)
+    # 1 - exp(-key) rises with key and spreads keys of weight 1 evenly.
+    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("long"))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), max_epochs, budget, weights)
     size = F.col("source_size")

@@ -29,7 +29,7 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 r AS (
   SELECT doc_id, source, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':0'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(t)) || ':0'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / CASE WHEN t = '' THEN 1.0::DOUBLE ELSE greatest(0.05::DOUBLE, CAST(length(translate(t, '#$%&*@{}[]<>|^~=_', '')) AS DOUBLE) / length(t)) END AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
 w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),

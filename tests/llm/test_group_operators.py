@@ -140,12 +140,22 @@ def test_archive_frames_stand_alone(tmp_path):
     words = zstandard.train_dictionary(4096, [f"<html>{i} common words of pages {i * 7}</html>".encode() * 8 for i in range(200)]).as_bytes()
     w = warc.Writer(str(tmp_path), "t", words)
     for i in range(5):
-        w.add(warc.header("response", i, "u", hashlib.sha1(b"x").hexdigest(), 1, None, 1) + b"x\r\n\r\n")
+        w.add(warc.record("response", i, "u", hashlib.sha1(b"x").hexdigest(), 1, None, b"x"))
     w.close()
     raw = (tmp_path / "t-00000.warc.zst").read_bytes()
     n = struct.unpack("<I", raw[4:8])[0]
     assert raw[8 : 8 + n] == words
     assert raw.count(b"\x28\xb5\x2f\xfd", 8 + n) == 5
+    with open(tmp_path / "t-00000.warc.zst", "rb") as f:
+        got = list(warc.records(f))
+    assert [h["X-Page-Id"] for h, _ in got] == list("01234") and all(body == warc.HTTP + b"x" for _, body in got)
+
+
+def test_a_revisit_names_the_record_it_repeats():
+    fields = lambda r: dict(line.split(": ", 1) for line in r.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    sha = hashlib.sha1(b"x").hexdigest()
+    first, again = fields(warc.record("response", 9, "u", sha, 1, None, b"x")), fields(warc.record("revisit", 3, "v", sha, 1, 9, b"x"))
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] != again["WARC-Record-ID"] and again["Content-Length"] == "0"
 
 
 # 9
@@ -216,7 +226,13 @@ def test_near_duplicates(spark):
         groups.setdefault(r["class_id"], []).append(r["doc_id"])
     assert sorted(sorted(g) for g in groups.values()) == brute_classes(docs)
     for r in rows:
-        assert r["class_size"] == len(groups[r["class_id"]]) and r["class_id"] == min(groups[r["class_id"]]) and r["kept"] == (r["doc_id"] == r["class_id"])
+        assert r["class_size"] == len(groups[r["class_id"]]) and r["class_id"] == min(groups[r["class_id"]])
+        assert r["kept"] == (r["doc_id"] == r["class_id"])
+    same_id = table(spark, [(7, docs[0][1]), (7, docs[0][1] + " x"), (7, "else"), (None, docs[0][1]), (7, docs[0][1])], "doc_id long, text string")
+    got = minhash.near_duplicates(same_id).collect()
+    # one text of the class stays, in both of its rows; the text of its own class stays too
+    assert sorted((r["class_id"], r["class_size"]) for r in got) == [(7, 1), (7, 4), (7, 4), (7, 4), (7, 4)]
+    assert len({(r["doc_id"], r["text_key"]) for r in got if r["kept"] and r["class_size"] == 4}) == 1 and not any(r["kept"] for r in got if r["doc_id"] is None)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -224,8 +240,8 @@ def test_every_pair_of_classes_in_a_large_bucket_is_compared(spark):
     name = lambda x: x.encode()
     of = {**{c: "a" for c in "abcde"}, **{c: "p" for c in "pqrs"}, "y": "y", "z": None}
     centre = lambda c: (name(c), 10)
-    rows = [(k, name(c), 10, centre("a"), centre("p")) for k, members in ((1, of), (2, "abcde"), (3, "apqyz")) for c in members]
-    many = table(spark, rows, "key long, node binary, n int, least struct<node: binary, n: int>, hub struct<node: binary, n: int>")
+    rows = [(k, name(c), 10, len(members), centre("a"), centre("p")) for k, members in ((1, of), (2, "abcde"), (3, "apqyz")) for c in members]
+    many = table(spark, rows, "key long, node binary, n int, size long, least struct<node: binary, n: int>, hub struct<node: binary, n: int>")
     labels = table(spark, [(name(c), name(x)) for c, x in of.items() if x], "node binary, label binary")
     asked = {(r["key"], bytes(r["node"]).decode()) for r in minhash.unlinked(many, labels).collect()}
     label = lambda c: of[c] or c
@@ -244,13 +260,29 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.06
 
 
+@pytest.mark.parametrize(("a", "b"), [((1, 7, 100, 3), (1, 5, 40, 30)), ((1000, 1, 1, 0), (900, 1, 0, 1)), ((3, 3, 3, 3), (4, 4, 4, 4)), ((1, 0, 0, 0), (512, 0, 0, 0))])
+def test_darts_under_the_lesser_weight_are_shared(a, b):
+    """Agreement of signatures against weighted Jaccard, for weights whose regions are cut at different heights."""
+    x, y = (np.array(w) for w in (a, b))
+    row = np.concatenate([np.zeros((x > 0).sum(), int), np.ones((y > 0).sum(), int)])
+    element = np.concatenate([np.flatnonzero(x), np.flatnonzero(y)]).astype(np.uint64) + np.uint64(11)
+    sig = minhash.signatures(row, element, np.concatenate([x[x > 0], y[y > 0]]), 2, 2048)
+    assert (sig != 0).all()
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.05
+
+
+def test_weighted_sets_become_sets():
+    row, ids = minhash.occurrences(*minhash.elements(np.array([0, 3, 5]), np.array([5, 9, 5, 9, 9], np.uint64)))
+    assert row.tolist() == [0, 0, 0, 1, 1] and len(set(ids[:3].tolist()) & set(ids[3:].tolist())) == 1 and len(set(ids.tolist())) == 4
+
+
 def test_recall_at_the_threshold():
     r = np.random.default_rng(0)
     met = 0
     for _ in range(60):
         common = r.integers(0, 2**62, 160).astype(np.uint64)
         a, b = (np.concatenate([common, r.integers(0, 2**62, 20).astype(np.uint64)]) for _ in range(2))
-        keys = minhash.band_keys(minhash.signatures(np.repeat([0, 1], 180), np.concatenate([a, b]), 2, 120), 20)
+        keys = minhash.band_keys(minhash.signatures(np.repeat([0, 1], 180), np.concatenate([a, b]), np.ones(360, int), 2, 120), 20)
         met += (keys[0] == keys[1]).any()
     assert met >= 58
 
@@ -258,14 +290,32 @@ def test_recall_at_the_threshold():
 # 10
 
 
-def test_machine_learns_pairs():
-    """Neither term alone is toxic, both together are."""
-    r = np.random.default_rng(1)
-    x = [sorted(set(r.integers(0, 6, r.integers(1, 4)).tolist())) for _ in range(4000)]
-    y = np.array([float(0 in t and 1 in t) for t in x])
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in x])])
-    m = toxicity.fit(offsets, np.concatenate(x), y, bits=4, least_z=0, l2_pairs=1e-4, l2=1e-4, rate=0.2, epochs=40)
-    assert ((m.scores(offsets, np.concatenate(x)) >= 0.5) == (y == 1)).mean() > 0.98
+def pair_rows(seed, n, both):
+    """Rows of 30 terms of 2000, and terms 0 and 1 at random; label 1 as both says."""
+    r = np.random.default_rng(seed)
+    x, y = [], []
+    for _ in range(n):
+        a, b = r.random(2) < 0.5
+        x.append(np.array(sorted({*r.integers(10, 2000, 30).tolist(), *[k for k, on in enumerate((a, b)) if on]})))
+        y.append(float(both(a, b)))
+    return np.concatenate([[0], np.cumsum([len(t) for t in x])]), np.concatenate(x), np.array(y)
+
+
+@pytest.mark.parametrize("both", [lambda a, b: a != b, lambda a, b: a == b, lambda a, b: a and b])
+def test_machine_learns_pairs_with_its_defaults(both):
+    """Judged on other rows; in the first two cases neither term alone tells anything."""
+    m = toxicity.fit(*pair_rows(1, 4000, both), bits=11)
+    offsets, cols, y = pair_rows(2, 1000, both)
+    assert ((m.scores(offsets, cols) >= 0.5) == (y == 1)).mean() > 0.98
+
+
+def test_linear_time_sum_is_the_sum_over_pairs():
+    r = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, r.normal(size=64).astype(np.float32), r.normal(size=(64, 5)).astype(np.float32), 6)
+    rows = [np.sort(r.choice(64, k, replace=False)) for k in (0, 1, 2, 7, 30)]
+    got = m.logits(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), np.concatenate(rows))
+    want = [0.3 + m.w[x].sum() + sum(float(m.v[i] @ m.v[j]) for i in x for j in x if i < j) for x in rows]
+    assert np.allclose(got, want, atol=1e-4)
 
 
 def test_toxicity(spark):
@@ -320,3 +370,56 @@ def test_pipeline(spark):
             assert docs.columns == columns
     assert {r["doc_id"] for r in rows} >= {None, 10**6}
     assert docs.filter(F.col("taken") > 3 * F.col("size")).count() == 0
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder(spark, tmp_path, labels=(), benchmark=()):
+    table(spark, list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table(spark, list(benchmark), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def stages(spark, docs, sf_dir):
+    """The rows after each stage."""
+    out = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        out.append(docs)
+    return out
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    assert [d.count() for d in stages(spark, table(spark, [], DOCUMENTS), folder(spark, tmp_path))] == [0] * 5
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Rows that repeat, equal ids, nulls, copies, a passage, a benchmark item, clashing names; no label but nulls."""
+    r = random.Random(21)
+    passage, item = [line() for _ in range(4)], line(14)
+    base = [[line() for _ in range(12)] for _ in range(5)]
+    near = " ".join(base[0]).split()
+    near[70] = "other"
+    rows = [(1, base[0]), (2, base[1][:6] + passage + base[1][6:]), (3, [line() for _ in range(3)] + passage), (4, [" ".join(near)]), (5, base[2] + [f"x {item} y"]), (6, base[3]), (6, base[4]), (None, [line()]), (8, None), (9, [""]), (6, base[3]), (10, base[3][:-1] + ["a last line of its own"])]
+    docs = [(i, None if x is None else "\n".join(x), "en", f"s{k % 3}" if k % 5 else None, 7) for k, (i, x) in enumerate(rows)]
+    r.shuffle(docs)
+    df = table(spark, docs, DOCUMENTS).withColumn("n_cut", F.lit("c")).withColumn("kept", F.lit("k")).withColumn("share_left", F.lit(0)).withColumn("node", F.lit(1))
+    got = stages(spark, df, folder(spark, tmp_path, [(None, 1, 1), (2, None, None)], [(1, item), (2, None)]))
+    ids = lambda d: sorted(((x["doc_id"], x["text"]) for x in d.collect()), key=str)
+    want = sorted(((i, t) for i, t, *_ in docs), key=str)
+    assert ids(got[0]) == want and all(d.columns == df.columns for d in got[:4])
+    # 3 loses the passage; of 10 only the last line would stay, so it goes
+    short = "\n".join(rows[2][1][:3])
+    want = sorted(((i, short if i == 3 else t) for i, t in want if i != 10), key=str)
+    assert ids(got[1]) == want and {x["n_chars"] for x in got[1].filter("doc_id = 3").collect()} == {len(short)} and {x["n_cut"] for x in got[1].collect()} == {"c"}
+    # 4 says what 1 does on one line; the two texts of id 6 differ, and the repeated row stays beside its twin
+    want = [x for x in want if x[0] != 4]
+    assert ids(got[2]) == want
+    want = [x for x in want if x[0] != 5]
+    assert ids(got[3]) == want
+    last = got[4].collect()
+    assert sorted((x["doc_id"] for x in last), key=str) == sorted((i for i, _ in want), key=str)
+    total = sum(len((t or "").split()) for _, t in want)
+    assert sum(x["size"] for x in last) == total and abs(sum(x["taken"] for x in last) - total) <= 3 * max(x["size"] for x in last)
