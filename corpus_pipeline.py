@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.llm import decontam, lines, minhash, mixing, toxicity
-from loamgraph.llm.common import stored, table
+from loamgraph.llm.common import KeyFilter, stored, table
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,18 +20,30 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: A document of which line dedup leaves less than this share of its characters goes: the rest stands in earlier documents, and what is left is a fragment.
+LEAST_LEFT = 0.2
+_COUNTS = ("__loam_lines", "__loam_gone", "__loam_share")
+
+
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: common blocks go from later documents; a document that loses all of its text goes."""
-    left = lines.dedup_lines(docs)
-    out = left.filter((F.col("n_cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Operator 6: common blocks go from later documents; a document that loses all of its text, or more than four fifths of it, goes."""
+    left = lines.dedup_lines(docs, counts=_COUNTS)
+    cut = F.col(_COUNTS[1]) > 0
+    out = left.filter(~cut | ((F.col(_COUNTS[2]) >= LEAST_LEFT) & F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return out.withColumn("n_chars", F.when(cut, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of each class the document with the least doc_id stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__loam_id")).distinct()
-    # by shuffle at every size: whether the ids would fit a broadcast depends on the input
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__loam_id")), "left_semi")
+    """Operator 9: of each class the document with the least doc_id stays (of its texts, if several share that id, one)."""
+    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__loam_id"), F.col("text_key").alias("__loam_key")).distinct()
+    gone = stored(gone, "gone")
+    # most rows that stay are told in the scan; only the others are shuffled
+    key = F.xxhash64("doc_id", minhash.text_key())
+    some = KeyFilter(gone, F.xxhash64("__loam_id", "__loam_key"), "gone-filter").flagged(docs, key, "__loam_some")
+    rows = some.withColumn("__loam_text", minhash.text_key())
+    found = rows["doc_id"].cast("long").eqNullSafe(F.col("__loam_id")) & (rows["__loam_text"] == F.col("__loam_key"))
+    left = rows.filter("__loam_some").join(gone.hint("merge"), found, "left_anti")
+    return rows.filter("not __loam_some").unionByName(left).select(docs.columns)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
