@@ -39,7 +39,7 @@ def last_events(changes: DataFrame) -> DataFrame:
 def apply(files: DataFrame, deps: DataFrame, batch: DataFrame, ts: int, most: int = 10) -> DataFrame:
     """files after a batch (file_id, event_type, affects_dependents): what depends on a changed or removed file, as the edges stood
     before, becomes stale in all columns; a changed file that doesn't affect dependents in its own two; removed files go."""
-    start = [r[0] for r in batch.filter("event_type = 'unlink' or (event_type = 'change' and affects_dependents)").select("file_id").distinct().toLocalIterator()]
+    start = batch.filter("event_type = 'unlink' or (event_type = 'change' and affects_dependents)").select("file_id")
     reached = graph.cascade(deps, start, most).select("file_id").withColumn("hit", F.lit(True))
     own = batch.filter("event_type = 'change' and not affects_dependents").select("file_id").distinct().withColumn("own", F.lit(True))
     out = files.join(reached, "file_id", "left").join(own, "file_id", "left")
