@@ -1,8 +1,9 @@
 """Tables of the engine: scratch tables in the cluster's shared folder, and a versioned store of named Parquet tables.
 
 A store publishes several tables at once: each new version goes to a directory of its own, then one small manifest that names
-the current versions replaces the old one (rename is atomic on a file system that has it; an object store needs a
-table format instead). Readers resolve the manifest once per query and so see one consistent set.
+the current versions is created under the next number. Manifests are never replaced or removed while they are current, so a reader
+or a crash at any moment finds the last complete one; a second writer that took the same number meets its file and fails instead of
+overwriting it. Readers resolve the manifest once per query and so see one consistent set. ``vacuum`` removes what old manifests name.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; a fresh local folder where it is unset."""
+    """spark.checkpoint.dir as the cluster sets it; a fresh local folder where it is unset and everything runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loamgraph-"))
     return jsc.getCheckpointDir().get()
 
@@ -42,30 +45,58 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/manifest.json")
+    def _numbers(self) -> list[int]:
+        at = self._path(f"{self.root}/manifests")
         if not self._fs.exists(at):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
+            return []
+        return sorted(int(x.getPath().getName()[:-5]) for x in self._fs.listStatus(at) if x.getPath().getName().endswith(".json"))
+
+    def _manifest(self, number: int) -> dict[str, str]:
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{number:010d}.json", wholetext=True).first()[0])
+
+    def manifest(self) -> dict[str, str]:
+        found = self._numbers()
+        return self._manifest(found[-1]) if found else {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.manifest()[name])
 
+    def has(self, name: str) -> bool:
+        return name in self.manifest()
+
     def publish(self, **tables: DataFrame) -> None:
-        """Writes all tables, then switches readers to them at once. Tables that aren't named stay."""
+        """Writes all tables, then switches readers to them at once. Tables that aren't named stay. Raises Conflict if another writer published meanwhile."""
         version = uuid.uuid4().hex[:12]
-        paths = self.manifest()
+        found = self._numbers()
+        number = found[-1] if found else 0
+        paths = self._manifest(number) if found else {}
         for name, df in tables.items():
             paths[name] = f"{self.root}/{name}/v={version}"
             df.write.parquet(paths[name])
-        temporary = self._path(f"{self.root}/.manifest-{version}")
+        # written whole under another name first: a manifest that has its name is complete
+        temporary, final = self._path(f"{self.root}/.manifest-{version}"), self._path(f"{self.root}/manifests/{number + 1:010d}.json")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(paths).encode()))
         out.close()
-        at = self._path(f"{self.root}/manifest.json")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(temporary, at)
+        self._fs.mkdirs(final.getParent())
+        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+            self._fs.delete(temporary, False)
+            raise Conflict(f"version {number + 1} of {self.root} was published by another writer")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes tables and manifests that none of the last ``keep`` versions names; returns how many directories went."""
+        found = self._numbers()
+        live = {p for n in found[-keep:] for p in self._manifest(n).values()}
+        gone = {p for n in found[:-keep] for p in self._manifest(n).values()} - live
+        for p in gone:
+            self._fs.delete(self._path(p), True)
+        for n in found[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/manifests/{n:010d}.json"), False)
+        return len(gone)
+
+
+class Conflict(RuntimeError):
+    """Two writers published at once; read again and repeat."""
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
