@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 EXTRACTED, INFERRED = 1.0, 0.8
@@ -27,8 +28,13 @@ class Parsed:
     confidence: float = EXTRACTED
 
 
-def mask(text: str, line: str = "//", block: tuple[str, str] | None = ("/*", "*/"), quotes: str = "\"'`", triple: bool = False) -> str:
-    """text with comments and string contents blanked, quotes and line breaks kept. ${} in backquoted strings stays blank."""
+#: A slash where a value must begin: at the start of a statement, after an operator, an opening bracket, a comma or certain keywords.
+_REGEX = r"(?:(?<=[=(,:;!&|?{}\[+\-*%<>~^\n])|(?<=[=(,:;!&|?{}\[+\-*%<>~^] )|(?<=\breturn )|(?<=\btypeof )|(?<=\bcase ))/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
+
+
+def mask(text: str, line: str = "//", block: tuple[str, str] | None = ("/*", "*/"), quotes: str = "\"'`", triple: bool = False, regexes: bool = False) -> str:
+    """text with comments and string contents blanked, quotes and line breaks kept. ${} in backquoted strings stays blank. regexes: also the
+    insides of regular expression literals, known by what stands before their slash."""
     parts = [re.escape(line) + r"[^\n]*"]
     if block:
         parts.append(re.escape(block[0]) + r"[\s\S]*?(?:" + re.escape(block[1]) + r"|\Z)")
@@ -36,6 +42,8 @@ def mask(text: str, line: str = "//", block: tuple[str, str] | None = ("/*", "*/
         parts += [r'"""[\s\S]*?(?:"""|\Z)', r"'''[\s\S]*?(?:'''|\Z)"]
     for q in quotes:
         parts.append(rf"{q}(?:\\[\s\S]|[^{q}\\])*(?:{q}|\Z)" if q == "`" else rf"{q}(?:\\[\s\S]|[^{q}\\\n])*{q}?")
+    if regexes:
+        parts.append(_REGEX)
     blank = lambda s: re.sub(r"[^\n]", " ", s)
 
     def put(m: re.Match) -> str:
@@ -110,7 +118,7 @@ def _local_names(clause: str) -> list[str]:
 
 def parse_ts(text: str) -> Parsed:
     """TypeScript and JavaScript."""
-    out, t = Parsed(), Text(text, mask(text))
+    out, t = Parsed(), Text(text, mask(text, regexes=True))
     bound: dict[str, str] = {}
     add = lambda spec, kind, names=None, line=None: "${" in spec or out.edges.append((spec, kind, names, line, not spec.startswith((".", "/"))))
     found = [(m.start(), "imports", m) for m in _TS_IMPORT.finditer(t.masked) if t.depth(m.start()) == 0]
@@ -232,20 +240,47 @@ def parse_ruby(text: str) -> Parsed:
     return out
 
 
+def use_paths(tree: str) -> list[str]:
+    """The paths of a use tree: groups multiplied out, renames dropped, * and self standing for the path before them."""
+    tree = tree.strip()
+    head, brace, rest = tree.partition("{")
+    if not brace:
+        path = re.split(r"\s+as\s+", tree)[0].replace(" ", "").removesuffix("::*").removesuffix("::self")
+        return [path] if path and path != "*" else []
+    depth, parts, last = 0, [], 0
+    for i, c in enumerate(rest):
+        if c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth < 0:
+                rest = rest[:i]
+                break
+        elif c == "," and not depth:
+            parts.append(rest[last:i])
+            last = i + 1
+    parts.append(rest[last:])
+    head = head.replace(" ", "")
+    return [path for part in parts if part.strip() for path in ([head.removesuffix("::")] if part.strip() in ("self", "*") else use_paths(head + part.strip()))]
+
+
 def parse_rust(text: str) -> Parsed:
     out, t = Parsed(), Text(text, mask(text, quotes='"'))
-    for m in re.finditer(r"\b(?:pub(?:\([^)]*\))?\s+)?(?:use\s+(?P<u>[\w:]+)|extern\s+crate\s+(?P<e>\w+)|mod\s+(?P<m>\w+)\s*;)", t.masked):
+    for m in re.finditer(r"\b(?:pub(?:\([^)]*\))?\s+)?(?:use\s+(?P<u>[\w:*{][^;]*);|extern\s+crate\s+(?P<e>\w+)|mod\s+(?P<m>\w+)\s*;)", t.masked):
         line = t.line(m.start())
         if m["m"]:
             out.edges.append((f"./{m['m']}", "imports", None, line, False))
         elif m["e"]:
             out.edges.append((m["e"], "imports", None, line, True))
         else:
-            head, *rest = m["u"].strip(":").split("::")
-            if head in ("crate", "super", "self"):
-                out.edges += [("./" + "/".join(rest), "imports", None, line, False)] if rest else []
-            else:
-                out.edges.append((head, "imports", None, line, True))
+            seen = set()
+            for path in use_paths(re.sub(r"\s+", " ", m["u"])):
+                head, *rest = path.strip(":").split("::")
+                local = head in ("crate", "super", "self")
+                spec = "./" + "/".join(rest) if local else head
+                if spec not in seen and (rest or not local):
+                    seen.add(spec)
+                    out.edges.append((spec, "imports", None, line, not local))
     return out
 
 
@@ -275,9 +310,15 @@ def parse_pattern(text: str, pattern: str) -> Parsed:
     return out
 
 
+#: Parsers by extension, lower case with its dot; register adds to them.
 PARSERS = dict.fromkeys((".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), parse_ts) | dict.fromkeys((".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"), parse_c) | {".py": parse_python, ".go": parse_go, ".rb": parse_ruby, ".rs": parse_rust}
 
 
+def register(extension: str, parser: Callable[[str], Parsed]) -> None:
+    """Has files with that extension parsed by a function of their text. It travels to the executors with the parsing job, so it must be importable there or defined in a way that pickles."""
+    PARSERS[extension.lower()] = parser
+
+
 def parse(path: str, text: str | None) -> Parsed:
     """By extension, case ignored. Unknown kinds and texts that can't be parsed give nothing."""
     ext = re.search(r"[^/](\.[^./]*)$", path or "")

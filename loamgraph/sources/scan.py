@@ -71,16 +71,28 @@ def walk(root: str, config: Config | None = None) -> Iterator[tuple[str, int, in
 
 
 def scan(spark: SparkSession, root: str, repo: str, config: Config | None = None, content: bool = True) -> DataFrame:
-    """(repo, path, name, is_directory, importance, mtime, length[, content]) of a tree in any file system Spark reads; exclusion is a filter on the listing."""
+    """(repo, path, name, is_directory, importance, mtime, length[, content]) of a tree in any file system Spark reads.
+
+    The listing comes without content, so excluded files are never opened; with content, files that are left are read by their paths."""
     config = config or Config()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    full = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    df = raw.withColumn("path", paths.relative(full, "/" + re.sub("^[a-z0-9]+:/+", "/", root).strip("/")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
+    top = "/" + re.sub("^[a-z0-9]+:/+", "/", root).strip("/")
+    below = lambda p: paths.relative(F.regexp_replace(p, "^[a-z0-9]+:/+", "/"), top)
+    df = raw.withColumn("uri", F.col("path")).withColumn("path", below("path"))
     df = df.filter(~paths.excluded(F.col("path"), tuple(config.exclude_patterns)))
     if config.ignore_rules:
         df = df.filter(~paths.ignored(F.col("path"), config.ignore_rules))
-    cols = [F.lit(repo).alias("repo"), "path", paths.basename(F.col("path")).alias("name"), F.lit(False).alias("is_directory"), score.base_importance(F.col("path")).alias("importance"), F.unix_millis("modificationTime").alias("mtime"), "length"]
-    return df.select(*cols, *([F.decode("content", "UTF-8").alias("content")] if content else []))
+    out = df.select(F.lit(repo).alias("repo"), "path", paths.basename(F.col("path")).alias("name"), F.lit(False).alias("is_directory"), score.base_importance(F.col("path")).alias("importance"), F.unix_millis("modificationTime").alias("mtime"), "length", "uri")
+    return with_content(spark, out).drop("uri") if content else out.drop("uri")
+
+
+def with_content(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Files (uri, ...) with their text; no other file is opened. Their names pass the driver, as a listing does anyway."""
+    uris = [r[0] for r in found.select("uri").toLocalIterator()]
+    if not uris:
+        return found.withColumn("content", F.lit(None).cast("string"))
+    read = spark.read.format("binaryFile").load(uris).select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("content"))
+    return found.join(read, "uri")
 
 
 def to_parse(found: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,7 +103,11 @@ def to_parse(found: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame
 
 def legacy_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, is_directory, importance, summary) from a nested JSON tree, which has no flat schema: one file is one row of text, flattened where it is read."""
-    text = spark.read.text(path, wholetext=True)
+    return legacy_rows(spark.read.text(path, wholetext=True))
+
+
+def legacy_rows(trees: DataFrame) -> DataFrame:
+    """As legacy_tree, from trees held in rows (value)."""
 
     def flatten(batches):
         import pandas as pd
@@ -107,7 +123,7 @@ def legacy_tree(spark: SparkSession, path: str) -> DataFrame:
                     todo += n.get("children") or []
             yield pd.DataFrame(rows, columns=["path", "name", "is_directory", "importance", "summary"]).astype({"importance": "Int64"})
 
-    return text.mapInPandas(flatten, "path string, name string, is_directory boolean, importance long, summary string")
+    return trees.mapInPandas(flatten, "path string, name string, is_directory boolean, importance long, summary string")
 
 
 def repositories(spark: SparkSession, roots: list[str], blacklist: list[str] = ()) -> DataFrame:
