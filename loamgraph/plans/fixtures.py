@@ -20,18 +20,20 @@ SELECT CAST(p_partkey AS BIGINT) AS file_id,
   CASE WHEN p_partkey % 2 = 0 THEN concat('{"functions":["make', p_type, '"],"classes":["', replace(p_brand, '#', ''), '"],"interfaces":[],"exports":["make', p_type, '"],"purpose":"', p_name, ' helper"}') END AS concepts,
   CASE WHEN p_partkey % 10 = 0 THEN concat('{"riskLevel":"low","affectedAreas":["', lower(p_type), '"],"breakingChanges":[],"summary":"x"}') END AS change_impact
 FROM part""",
+    # between blocks of 128 keys edges lead from the greater key to the lesser, so cycles stay within blocks and differ in size
     "fx_deps": """
-SELECT a.l_partkey AS source_id, b.l_partkey AS target_id, 'local_import' AS dependency_type,
+SELECT CASE WHEN a.l_partkey % 128 - a.l_partkey = b.l_partkey % 128 - b.l_partkey THEN a.l_partkey ELSE greatest(a.l_partkey, b.l_partkey) END AS source_id,
+       CASE WHEN a.l_partkey % 128 - a.l_partkey = b.l_partkey % 128 - b.l_partkey THEN b.l_partkey ELSE least(a.l_partkey, b.l_partkey) END AS target_id,
+       'local_import' AS dependency_type,
        CASE WHEN a.l_returnflag = 'R' THEN 'inherits' WHEN a.l_returnflag = 'A' THEN 're_exports' ELSE 'imports' END AS edge_type,
        CASE WHEN a.l_linestatus = 'F' THEN 1.0 ELSE 0.8 END AS confidence,
        CAST(1 AS BIGINT) AS weight,
        CASE WHEN a.l_linenumber % 3 <> 0 THEN concat('["n', CAST(b.l_linenumber AS STRING), '","k', CAST(a.l_suppkey % 3 AS STRING), '"]') END AS imported_names,
        CASE WHEN a.l_linenumber % 3 <> 0 THEN a.l_linenumber END AS import_line
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-WHERE a.l_orderkey % 20 = 0
 UNION ALL
 SELECT l_partkey, -1 - l_suppkey, 'package_import', 'imports', 1.0, CAST(1 AS BIGINT), NULL, NULL
-FROM lineitem WHERE l_orderkey % 20 = 1""",
+FROM lineitem""",
     "fx_symbols": """
 SELECT c_custkey AS id, c_custkey AS file_id, concat('fn', CAST(c_custkey % 50 AS STRING)) AS name,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'function' WHEN 'AUTOMOBILE' THEN 'class' WHEN 'MACHINERY' THEN 'interface' WHEN 'HOUSEHOLD' THEN 'type' ELSE 'const' END AS kind,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import languages, paths, score
 from loamgraph.operators import changes, files, graph, jobs
+from loamgraph.plans import source_queries  # noqa: F401
 from loamgraph.plans.queries import ORACLE, QUERIES
 from loamgraph.sources import scan
 from loamgraph.streaming import jobs as streams
