@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,6 +35,20 @@ def ordered(jobs: DataFrame, n: int = 1000) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "created_at", "id")))
 
 
+def admitted(pending: DataFrame, new: DataFrame, capacity: int = 1000) -> DataFrame:
+    """new jobs (id, repo, path, job_type, arrival) with reject: queue_full for those that come when the queue of pending jobs (repo, path, job_type)
+    has ``capacity`` keys, even if they would replace one; null for the others. The key that fills the queue is found among first arrivals of
+    keys that aren't pending, of which at most ``capacity`` are ordered."""
+    key = ["repo", "path", "job_type"]
+    room = max(0, capacity - pending.select(*key).distinct().count())
+    if not room:
+        return new.withColumn("reject", F.lit("queue_full"))
+    fresh = new.join(pending.select(*key).distinct(), key, "left_anti").groupBy(*key).agg(F.min(F.struct("arrival", "id")).alias("first"))
+    filled = fresh.orderBy("first").limit(room).agg(F.count("*").alias("n"), F.max("first").alias("last"))
+    late = (F.col("n") == room) & (F.struct("arrival", "id") > F.col("last"))
+    return new.crossJoin(F.broadcast(filled)).withColumn("reject", F.when(late, "queue_full")).drop("n", "last")
+
+
 def without(jobs: DataFrame, closed: DataFrame) -> DataFrame:
     """Without the jobs of closed connections."""
     return jobs.join(closed, "connection", "left_anti")
@@ -85,16 +101,37 @@ def rates(samples: DataFrame) -> DataFrame:
 RESULT = "id long, repo string, path string, job_type string, value string, error string, created_at long"
 
 
-def answer(jobs: DataFrame, model: Callable[[str, str], str], workers: int = 4) -> DataFrame:
+def answer(jobs: DataFrame, model: Callable[[str, str], str], workers: int = 4, timeout: float | None = None) -> DataFrame:
     """jobs (id, repo, path, job_type, payload, created_at) answered by model(job_type, payload) where the rows are; an exception becomes the
-    row's error and leaves its value null, so the file stays stale. workers: partitions, hence calls at once."""
+    row's error and leaves its value null, so the file stays stale. workers: partitions, hence calls at once. timeout: seconds for one call,
+    after which its row has an error; the call itself ends with its thread."""
+
+    def call(kind: str, text: str) -> str:
+        if timeout is None:
+            return model(kind, text)
+        out: queue.Queue = queue.Queue()
+
+        def work() -> None:
+            try:
+                out.put((model(kind, text), None))
+            except Exception as e:  # handed on below
+                out.put((None, e))
+
+        threading.Thread(target=work, daemon=True).start()
+        try:
+            value, error = out.get(timeout=timeout)
+        except queue.Empty:
+            raise TimeoutError(f"no answer in {timeout} s") from None
+        if error is not None:
+            raise error
+        return value
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             values, errors = [], []
             for kind, text in zip(pdf["job_type"], pdf["payload"], strict=True):
                 try:
-                    values.append(model(kind, text))
+                    values.append(call(kind, text))
                     errors.append(None)
                 except Exception as e:  # a model may fail in any way; the row tells how
                     values.append(None)
@@ -117,6 +154,11 @@ def prompt(job_type: Column, path: Column, content: Column, most: int = 64 * 102
     return payload(F.concat(ask, F.lit("\nFile: "), path), content, most)
 
 
+def diff_prompt(path: Column, diff: Column) -> Column:
+    """The prompt about a change: its diff, cut at 16 KiB."""
+    return prompt(F.lit("change_impact"), path, diff, 16 * 1024)
+
+
 def snapshot_of(text: Column) -> Column:
     """A stored export snapshot; null where it can't be read."""
     return F.from_json(text, "filePath string, exports array<struct<name:string,kind:string,signature:string>>, imports array<string>, capturedAt long")

@@ -355,3 +355,14 @@ def live_files(t):
     from ..operators import changes
 
     return changes.last_events(t["fx_changes"]).filter("event_type != 'unlink'").select("path", "event_type", "event_id")
+
+
+@query(
+    """SELECT id, CASE WHEN (us, id) > (SELECT max((us, id)) FROM (SELECT min((us, id)) AS f, max(us) AS m, min(us) AS us, arg_min(id, (us, id)) AS id FROM q WHERE id >= 100 AND NOT EXISTS (SELECT 1 FROM q o WHERE o.id < 100 AND o.user_id = q.user_id AND o.event_type = q.event_type) GROUP BY user_id, event_type ORDER BY f LIMIT 20)) THEN 'queue_full' END AS reject FROM q WHERE id >= 100""",
+    ("q", "SELECT event_id AS id, epoch_us(ts) AS us, user_id, event_type FROM events"),
+)
+def job_admission(t):
+    ev = t.table("events").select(F.col("event_id").alias("id"), F.lit("r").alias("repo"), F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("job_type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"))
+    pending = ev.filter("id < 100")
+    room = pending.select("path", "job_type").distinct().count() + 20
+    return jobs.admitted(pending, ev.filter("id >= 100"), room).select("id", "reject")

@@ -70,20 +70,21 @@ def walk(root: str, config: Config | None = None) -> Iterator[tuple[str, int, in
                     yield rel, int(st.st_mtime * 1000), st.st_size
 
 
-def scan(spark: SparkSession, root: str, repo: str, config: Config | None = None, content: bool = True) -> DataFrame:
-    """(repo, path, name, is_directory, importance, mtime, length[, content]) of a tree in any file system Spark reads.
+def scan(spark: SparkSession, root: str | list[str], repo: str, config: Config | None = None, content: bool = True, uri: bool = False, top: str | None = None) -> DataFrame:
+    """(repo, path, name, is_directory, importance, mtime, length[, uri][, content]) of a tree in any file system Spark reads.
 
-    The listing comes without content, so excluded files are never opened; with content, files that are left are read by their paths."""
+    root may also be a list of files below top. The listing comes without content, so excluded files are never opened; with content, files that are left are read by their paths."""
     config = config or Config()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    top = "/" + re.sub("^[a-z0-9]+:/+", "/", root).strip("/")
+    top = "/" + re.sub("^[a-z0-9]+:/+", "/", top or root).strip("/")
     below = lambda p: paths.relative(F.regexp_replace(p, "^[a-z0-9]+:/+", "/"), top)
     df = raw.withColumn("uri", F.col("path")).withColumn("path", below("path"))
     df = df.filter(~paths.excluded(F.col("path"), tuple(config.exclude_patterns)))
     if config.ignore_rules:
         df = df.filter(~paths.ignored(F.col("path"), config.ignore_rules))
     out = df.select(F.lit(repo).alias("repo"), "path", paths.basename(F.col("path")).alias("name"), F.lit(False).alias("is_directory"), score.base_importance(F.col("path")).alias("importance"), F.unix_millis("modificationTime").alias("mtime"), "length", "uri")
-    return with_content(spark, out).drop("uri") if content else out.drop("uri")
+    out = with_content(spark, out) if content else out
+    return out if uri else out.drop("uri")
 
 
 def with_content(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -91,8 +92,9 @@ def with_content(spark: SparkSession, found: DataFrame) -> DataFrame:
     uris = [r[0] for r in found.select("uri").toLocalIterator()]
     if not uris:
         return found.withColumn("content", F.lit(None).cast("string"))
-    read = spark.read.format("binaryFile").load(uris).select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("content"))
-    return found.join(read, "uri")
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")  # noqa: E731  a path and its URI name one file
+    read = spark.read.format("binaryFile").load(uris).select(bare("path").alias("__at"), F.decode("content", "UTF-8").alias("content"))
+    return found.join(read, bare("uri") == F.col("__at")).drop("__at")
 
 
 def to_parse(found: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,6 +128,17 @@ def legacy_rows(trees: DataFrame) -> DataFrame:
     return trees.mapInPandas(flatten, "path string, name string, is_directory boolean, importance long, summary string")
 
 
+def discover(spark: SparkSession, tops: list[str], marker: str = ".loamgraph", blacklist: list[str] = ()) -> DataFrame:
+    """Repositories one or two levels below the top folders: folders that hold the marker. For a driver's own disk."""
+    found = []
+    for top in tops:
+        level = [top]
+        for _ in range(2):
+            level = [e.path for d in level if os.path.isdir(d) for e in sorted(os.scandir(d), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")]
+            found += [d for d in level if os.path.exists(os.path.join(d, marker))]
+    return repositories(spark, found, blacklist)
+
+
 def repositories(spark: SparkSession, roots: list[str], blacklist: list[str] = ()) -> DataFrame:
     """Distinct repositories without blacklisted ones."""
     found = spark.createDataFrame([(r.rstrip("/"),) for r in roots], "root string").dropDuplicates()

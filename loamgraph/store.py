@@ -64,6 +64,15 @@ class Store:
     def has(self, name: str) -> bool:
         return name in self.manifest()
 
+    def exists(self, path: str) -> bool:
+        return self.modified(path) is not None
+
+    def modified(self, path: str) -> int | None:
+        """A file's time in ms, in any file system; null if it isn't there."""
+        at = self._path(path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else None
+
     def publish(self, **tables: DataFrame) -> None:
         """Writes all tables, then switches readers to them at once. Tables that aren't named stay. Raises Conflict if another writer published meanwhile."""
         version = uuid.uuid4().hex[:12]

@@ -19,6 +19,81 @@ TREE = {
 }
 
 
+def grow(root, files):
+    for p, t in files.items():
+        os.makedirs(root / os.path.dirname(p), exist_ok=True)
+        (root / p).write_text(t)
+
+
+def tables(engine):
+    """What the tables say, without what depends on when it was said."""
+    pick = {"files": ("path", "importance", "summary"), "deps": ("source_id", "target_id", "package", "package_version", "is_dev", "edge_type", "weight", "imported_names"), "symbols": ("file_id", "name", "kind", "start_line", "is_export"), "calls": ("caller_symbol_id", "callee_symbol_id", "call_line", "confidence")}
+    return {n: sorted(map(str, engine.table(n).select(*c).collect())) for n, c in pick.items()}
+
+
+def test_changes_are_indexed_as_a_scan_would(spark, tmp_path, monkeypatch):
+    """Add, change and remove by events; only touched files are parsed; the tables equal those of a new store."""
+    root = tmp_path / "tree"
+    grow(root, TREE | {"package.json": '{"dependencies": {"react-dom": "18"}, "devDependencies": {"vite": "5"}}', "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["./src/*"]}}}', "src/al.ts": "import { helper } from '@/b';\nimport v from 'vite';\n"})
+    e = Engine(spark, str(tmp_path / "one"))
+    e.set_base_directory(str(root), "r")
+    versions = {r["package"]: (r["package_version"], r["is_dev"]) for r in e.table("deps").filter("package is not null").collect()}
+    assert versions["react-dom"] == ("18", False) and versions["vite"] == ("5", True) and versions["os"] == (None, None)
+    assert "src/al.ts" in paths(e.table("deps").join(e.table("files").filter("path = 'src/b.ts'").selectExpr("file_id as target_id"), "target_id").join(e.table("files").selectExpr("file_id as source_id", "path"), "source_id"))
+    e.set_file_summary("src/a.ts", "kept")
+    grow(root, {"src/b.ts": "export function helper(n: number) { return n; }\nexport function more() { return helper(1); }\n", "src/new.ts": "import { more } from './b';\nexport const x = () => more();\n"})
+    os.utime(root / "src/b.ts", (2_000_000_000, 2_000_000_000))
+    os.remove(root / "tests/u.py")
+    seen = []
+    from loamgraph.operators import parse
+    real = parse.parsed
+    monkeypatch.setattr(parse, "parsed", lambda f: (seen.extend(r[0] for r in f.select("path").collect()), real(f))[1])
+    events = spark.createDataFrame([("src/b.ts", "change"), ("src/new.ts", "add"), ("tests/u.py", "unlink"), ("node_modules/x/index.js", "change")], "path string, event_type string")
+    e.apply_events(str(root), "r", events)
+    assert sorted(seen) == ["src/b.ts", "src/new.ts"]
+    other = Engine(spark, str(tmp_path / "two"))
+    other.set_base_directory(str(root), "r")
+    other.set_file_summary("src/a.ts", "kept")
+    assert tables(e) == tables(other)
+    stale = {r["path"]: r["summary_stale_since"] is not None for r in e.table("files").collect()}
+    # what imports b, or u which went, directly or not
+    assert {p for p, s in stale.items() if s} == {"src/a.ts", "src/al.ts", "src/b.ts", "src/c.js", "src/index.ts", "tests/t.py"}
+    del seen[:]
+    e.set_base_directory(str(root), "r")
+    assert seen == []
+    snap = e.table("files").filter("path = 'src/new.ts'").first()["exports_snapshot"]
+    assert '"name":"x"' in snap
+
+
+def test_a_change_of_the_body_concerns_its_file_only(spark, tmp_path):
+    root = tmp_path / "tree"
+    grow(root, TREE)
+    e = Engine(spark, str(tmp_path / "s"))
+    e.set_base_directory(str(root), "r")
+    grow(root, {"src/b.ts": "import './c';\nexport function helper(n: number) { return n + 1; }\n"})
+    os.utime(root / "src/b.ts", (2_000_000_000, 2_000_000_000))
+    row = e.get_file_summary("src/b.ts").first()
+    assert row["newer_on_disk"] and row["imported_by"][0]["names"] == "helper"
+    e.set_base_directory(str(root), "r")
+    got = e.table("files").filter("summary_stale_since is not null or change_impact_stale_since is not null").collect()
+    assert [r["path"] for r in got] == ["src/b.ts"] and got[0]["change_impact_stale_since"] is None
+
+
+def test_store_survives_a_second_writer(spark, tmp_path):
+    from loamgraph.store import Conflict, Store
+
+    a, b = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    a.publish(t=spark.range(1))
+    late = b._numbers()
+    b._numbers = lambda: late
+    a.publish(t=spark.range(2))
+    with pytest.raises(Conflict):
+        b.publish(t=spark.range(9))
+    assert a.read("t").count() == 2 and a._numbers() == [1, 2]
+    a.publish(u=spark.range(3))
+    assert a.vacuum(1) == 1 and a.read("t").count() == 2 and a.read("u").count() == 3
+
+
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
@@ -87,9 +162,14 @@ def test_remove(engine):
     engine.exclude_and_remove("tests/u.py")
     assert engine.status().first()["total"] == before - 1
     assert engine.get_file_summary("tests/t.py").first()["deps"] == ""
+    assert engine.excludes("r") == ["**/u.py"]
 
 
 def test_communities_cover_each_file_once(engine):
     rows = engine.get_communities().collect()
     members = [m for r in rows for m in r["members"].split(",")]
+    stored = engine.store.manifest()["communities"]
+    engine.get_communities().collect()
+    assert engine.store.manifest()["communities"] == stored  # nothing changed, nothing made anew
+    assert engine.graph_data()[0].filter("community_id is not null").count() > 0
     assert len(members) == len(set(members)) and {"src/a.ts", "src/b.ts", "src/c.js"} <= set(members)

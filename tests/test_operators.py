@@ -68,6 +68,15 @@ def test_ring_of_1000():
     assert set(graph.tarjan([(i, (i + 1) % 1000) for i in range(1000)]).values()) == {0}
 
 
+def test_long_ring_in_linear_time():
+    import time
+
+    n, t = 200_000, time.time()
+    assert set(graph.tarjan([(i, (i + 1) % n) for i in range(n)]).values()) == {0}
+    assert len(set(graph.tarjan([(i, i + 1) for i in range(n)]).values())) == n + 1
+    assert time.time() - t < 10
+
+
 def test_components_without_the_driver(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (7, 7), (8, 1)]
     df = spark.createDataFrame(edges, "source_id long, target_id long")
@@ -183,6 +192,8 @@ def test_sources(spark, tmp_path):
         ("a.go", 'package m\nimport (\n  "fmt"\n  x "g.com/a"\n)\nfunc (r *T) Run() {\n}\ntype I interface{}\nconst (\n D = 2\n)\n', ["fmt", "g.com/a"], [("Run", "function", 6, 7), ("I", "interface", 8, 8), ("D", "const", 10, 10)]),
         ("a.rb", "require 'json'\nrequire_relative 'x/y'\n# require 'no'\nclass Foo::Bar\n  def a; end\nend\nX = 1\n", ["json", "./x/y"], [("Foo::Bar", "class", 4, 6), ("X", "const", 7, 7)]),
         ("a.rs", "use crate::a::b;\nuse std::io;\nmod m;\n// use no::no;\n", ["./a/b", "std", "./m"], []),
+        ("a.rs", "pub use crate::{a, b::{self, c as d}, e::*};\nuse x::{y, z};\n", ["./a", "./b", "./b/c", "./e", "x"], []),
+        ("a.ts", "const q = /[\"']/; const r = require('x');\nimport y from 'z';\nconst d = 4 / 2; const e = d / 3;\nfunction f() { return /\\/'/.test('a'); }\n", ["x", "z"], [("q", "const", 1, 1), ("r", "const", 1, 1), ("d", "const", 3, 3), ("e", "const", 3, 3), ("f", "function", 4, 4)]),
         ("a.c", '#include <s.h>\n#include "x.h"\n// #include "no.h"\n', ["s.h", "./x.h"], []),
         ("a.py", "import os\nfrom .x import y\n@d\ndef f():\n  pass\n", ["os", ".x"], [("f", "function", 3, 5)]),
         ("a.lua", "local x = require('m.n')", ["m.n"], []),
@@ -199,6 +210,22 @@ def test_parsers(path, text, edges, symbols):
     assert [s[:4] for s in p.symbols] == symbols
 
 
+def test_registered_parser(spark):
+    from loamgraph.operators import parse
+
+    languages.register(".Mine", lambda text: languages.Parsed(symbols=[(text.strip(), "function", 1, 1, True)]))
+    df = spark.createDataFrame([("r", "a.mine", "hello")], "repo string, path string, content string")
+    assert [s["name"] for s in parse.parsed(df).first()["symbols"]] == ["hello"]
+    del languages.PARSERS[".mine"]
+
+
+def test_discovery(spark, tmp_path):
+    for d in ("a/.loamgraph", "a/b/.loamgraph", "c/d/.loamgraph", "c/d/e/.loamgraph", "f"):
+        (tmp_path / d).mkdir(parents=True)
+    got = {r["root"] for r in scan.discover(spark, [str(tmp_path)], blacklist=[str(tmp_path / "a/b")]).collect()}
+    assert got == {str(tmp_path / "a"), str(tmp_path / "c/d")}
+
+
 def test_long_file():
     p = languages.parse("a.ts", "export function f() { g(); }\n" * 10_000)
     assert len(p.symbols) == 10_000 and len(p.calls) == 10_000
@@ -214,6 +241,8 @@ def test_model_answers_and_failures(spark):
 
     got = {r["id"]: (r["value"], r["error"]) for r in jobs.answer(df, model).collect()}
     assert got == {1: ("summary:x", None), 2: (None, "RuntimeError: no")}
+    slow = jobs.answer(df, lambda kind, text: __import__("time").sleep(20) if text == "boom" else kind, timeout=1.0).collect()
+    assert {r["id"]: r["error"] for r in slow} == {1: None, 2: "TimeoutError: no answer in 1.0 s"}
     text = df.select(jobs.prompt(F.col("job_type"), F.col("path"), F.col("payload"), 2)).collect()[1][0]
     assert text.endswith("File: b\nbo\n... [truncated]")
     bad = spark.createDataFrame([("{",), ('{"exports": [{"name": "a"}]}',)], "t string").select(jobs.snapshot_of(F.col("t")).alias("s")).collect()
