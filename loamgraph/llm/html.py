@@ -3,22 +3,25 @@
 A page is a sequence of tag tokens, each known by its path of elements (with class, id and role). Tokens whose
 occurrence vectors over the pages of one host are equal form an equivalence class. A vector is never held: its two
 31-bit sums of hashed (page, count) stand for it, so classes come from one partial aggregation over (host, token).
-A class is valid if its tokens keep one order over the pages (their least and their greatest first places sort
-alike). The valid classes of tokens that occur once in (almost) every page are the template's skeleton. Classes of lower support
-or of repeated tokens are not used, and classes aren't nested. Hosts with fewer than ``least_pages`` pages take the
-template that is deduced over all pages.
-
-Slots are the skeleton's elements but inline ones; a text belongs to the slot next around it. A slot is boilerplate if its
-element or class says so (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) or, in
-templates without an article or main slot, if the text that belongs to it is the same on all pages, of which at least two
-differ in other text, or mostly links. The latter loses its own text only: other slots inside it stay. The main slots are the article or main slots, or else the remaining ones. What remains of the page in main slots
-is its text: character references decoded, white space inside a block (line breaks too) turned into one space, trimmed,
-non-empty blocks joined by \\n in page order. Nothing else is dropped, so a page outside its host's template keeps
-whatever isn't boilerplate.
-
-Scale: pages are read twice and never shuffled; a template is a handful of paths. Templates reach the pages by a
+Classes on at least ``least_pages`` pages and ``support`` of the host's pages count, so each of several layouts has classes of its own.
+A class is valid if it has several tokens and they keep one order over its pages (their least and their greatest first places sort
+alike). Tokens that occur once on each of their class's pages are the template's slots; repeated ones (lists, records) stay inside a slot.
+Hosts with fewer than ``least_pages`` pages take the template that is deduced over all pages.
+
+Slots are elements but inline ones, nested by their paths; a text belongs to the slot next around it. Text that differs between the pages of a
+slot and isn't mostly links is its variable text. Going down from the outermost slots, a slot is entered if it has most of the variable text that a page has in the slot around it
+and leaves no variable main heading behind; where this ends is a main slot. Where the page says itself what its main text is, by an article or main element
+inside or around such a slot, that element is the main slot instead. Inside, a slot is boilerplate if its
+element or class says so (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) or, outside article and main elements,
+if the text that belongs to it is the same on all its pages, of which at least two
+differ in other text, or mostly links. The latter loses its own text only: other slots inside it stay. A page without any main slot of its
+template keeps all of its text but boilerplate. What remains in main slots
+is the page's text: character references decoded, white space inside a block (line breaks too) turned into one space, trimmed,
+non-empty blocks joined by \\n in page order. Nothing else is dropped.
+
+Scale: pages are read twice and never shuffled; a template is at most 1 / support times the paths of a page. Templates reach the pages by a
 broadcast if they are counted to at most ``broadcast_hosts`` hosts, and by an equi-join on host beyond (adaptive
-execution splits hot hosts). Null or empty html gives an empty text; a null url has an empty host. Repeated rows
+execution splits hot hosts); both know a host by the same rule. Null or empty html gives an empty text; a null url has an empty host. Repeated rows
 repeat, and count in the vectors. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import in_batches, slices
@@ -244,50 +247,91 @@ def tokens(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "path").agg(*total, *ends)
 
 
-def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.9) -> DataFrame:
-    """(host, main array<string>, drop array<string>, keep array<string>): the slots of each host's template; host null: of all pages.
-    keep: slots inside those of drop that aren't boilerplate."""
-    every = stored(tokens(pages), "tokens")
-    toks = every
+#: Elements that may hold a page's main text as a whole.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td form".split())
+#: A slot is entered if it has this share of the variable text, and of the main headings, that a page has in the slot around it.
+MOST = 0.6
+
+
+def _prefixes(path: Column) -> Column:
+    """(depth, slot) of the path and all paths around it, outermost first."""
+    parts = F.split(path, "/")
+    return F.posexplode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.xxhash64(F.array_join(F.slice(parts, F.lit(1), k), "/")))).alias("depth", "around")
+
+
+def _slots(every: DataFrame, least_pages: int, support: float) -> DataFrame:
+    """(host, path, slot, pages, ...) of tokens in valid classes that occur once on each page of their class."""
     host = Window.partitionBy("host")
-    toks = toks.withColumn("of", F.max("pages").over(host))
+    toks = every.withColumn("of", F.max("pages").over(host))
     toks = toks.filter((F.col("of") >= least_pages) | F.col("host").isNull())
-    # the skeleton: frequent enough, once a page; equal vectors make a class
-    toks = toks.filter(F.col("pages") >= F.col("of") * support)
+    toks = toks.filter((F.col("pages") >= F.least(F.col("of"), F.lit(least_pages))) & (F.col("pages") >= F.col("of") * support))
+    # equal vectors make a class
     cls = Window.partitionBy("host", "v1", "v2", "pages")
     toks = toks.withColumn("size", F.count("*").over(cls))
     # valid: least and greatest first places put the tokens of a class in one order
     low, high = (F.row_number().over(cls.orderBy(c, "path")) for c in ("first_min", "first_max"))
     toks = toks.withColumn("low", low).withColumn("high", high).withColumn("valid", F.min((F.col("low") == F.col("high")).cast("int")).over(cls) == 1)
-    toks = toks.filter("valid and size > 1 and once = pages")
-    last = F.element_at(F.split("path", "/"), -1)
-    slots = stored(toks.filter(~F.regexp_extract(last, r"^[^.#]*", 0).isin(*INLINE)).select("host", "path", "pages", "main", "bad", "page_min", "page_max", F.xxhash64("path").alias("slot")), "slots")
-    # the slot next around each text
-    parts = F.split("path", "/")
-    around = F.posexplode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.xxhash64(F.array_join(F.slice(parts, F.lit(1), k), "/")))).alias("depth", "slot")
-    texts = every.filter("chars > 0 and not bad").select("host", F.xxhash64("path").alias("at"), F.col("pages").alias("n"), "chars", "links", (F.col("text_min") == F.col("text_max")).alias("same"), around)
-    of = slots.select(F.col("host").alias("h"), F.col("slot").alias("s"), "pages")
-    texts = texts.join(of, texts["host"].eqNullSafe(F.col("h")) & (F.col("slot") == F.col("s")))
-    texts = texts.groupBy("host", "at").agg(F.max_by(F.struct("slot", "chars", "links", (F.col("same") & (F.col("n") == F.col("pages"))).alias("same")), "depth").alias("x"))
-    own = texts.groupBy(F.col("host").alias("h"), F.col("x.slot").alias("s")).agg(F.sum("x.chars").alias("chars"), F.sum("x.links").alias("links"), F.min("x.same").alias("same"))
-    slots = slots.join(own, slots["host"].eqNullSafe(F.col("h")) & (F.col("slot") == F.col("s")), "left")
-    is_main = last.rlike(r"^(article|main)\b") & ~F.col("bad")
-    has_main = F.max(is_main.cast("int")).over(host) == 1
-    # copies of one page don't tell what is constant
+    name = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^[^.#]*", 0)
+    toks = toks.filter("valid and size > 1 and once = pages").withColumn("name", name).filter(~F.col("name").isin(*INLINE))
+    return toks.select("host", "path", F.xxhash64("path").alias("slot"), "name", "pages", "main", "bad", "page_min", "page_max")
+
+
+def templates(pages: DataFrame, least_pages: int = 3, support: float = 0.05) -> DataFrame:
+    """(host, main array<string>, drop array<string>, keep array<string>): the slots of each host's template; host null: of all pages.
+    keep: slots inside those of drop that aren't boilerplate."""
+    every = stored(tokens(pages), "tokens")
+    slots = stored(_slots(every, least_pages, support), "slots")
+    of = slots.select(F.col("host").alias("h"), F.col("slot").alias("s"), F.col("pages").alias("slot_pages"), (F.col("page_min") == F.col("page_max")).alias("copies"))
+    same = F.col("text_min") == F.col("text_max")
+    texts = every.filter("chars > 0 and not bad").select("host", F.xxhash64("path").alias("at"), F.col("pages").alias("n"), "chars", "links", same.alias("same"), F.col("path").rlike(r"/h1(?:[.#/]|$)").alias("heading"), _prefixes(F.col("path")))
+    inside = stored(texts.join(of, texts["host"].eqNullSafe(F.col("h")) & (F.col("around") == F.col("s"))), "inside")
+    # the slot next around each text, and what belongs to it
+    next_to = inside.groupBy("host", "at").agg(F.max_by(F.struct("s", "chars", "links", (F.col("same") & (F.col("n") == F.col("slot_pages"))).alias("same")), "depth").alias("x"))
+    own = next_to.groupBy(F.col("host").alias("h"), F.col("x.s").alias("s")).agg(F.sum("x.chars").alias("chars"), F.sum("x.links").alias("links"), F.min("x.same").alias("same"))
+    # all variable text inside each slot, a page; copies of one page don't tell what is constant
+    varies = (~F.col("same") | F.col("copies")) & (F.col("links") * 2 <= F.col("chars"))
+    mass = inside.groupBy(F.col("host").alias("h"), F.col("s")).agg((F.sum(F.when(varies, F.col("chars")).otherwise(0)) / F.first("slot_pages")).alias("mass"), (F.sum(F.when(varies & F.col("heading"), F.col("chars")).otherwise(0)) / F.first("slot_pages")).alias("headings"))
+    on = slots["host"].eqNullSafe(F.col("h")) & (slots["slot"] == F.col("s"))
+    slots = slots.join(own, on, "left").drop("h", "s")
+    slots = slots.join(mass, slots["host"].eqNullSafe(F.col("h")) & (slots["slot"] == F.col("s")), "left").drop("h", "s")
+    slots = stored(slots.fillna(0, ["mass", "headings"]), "masses")
+    mains = _mains(slots)
     constant = F.col("same") & (F.col("page_min") < F.col("page_max"))
     linked = F.col("links") > F.col("chars") * 0.5
-    judged = F.coalesce(~F.col("bad") & ~has_main & (constant | linked) & ~last.rlike(r"^(html|body)\b"), F.lit(False))
-    slots = slots.withColumn("is_main", is_main).withColumn("is_drop", ~F.col("main") & (F.col("bad") | judged)).withColumn("is_keep", ~F.col("is_drop") & ~F.col("bad"))
+    judged = F.coalesce(~F.col("bad") & (constant | linked) & ~F.col("name").isin("html", "body"), F.lit(False))
+    slots = slots.join(mains, slots["host"].eqNullSafe(F.col("h")) & (slots["slot"] == F.col("s")), "left").withColumn("is_main", F.col("s").isNotNull())
+    slots = slots.withColumn("is_drop", ~F.col("main") & (F.col("bad") | judged)).withColumn("is_keep", ~F.col("is_drop") & ~F.col("bad"))
     paths = lambda flag: F.array_sort(F.collect_set(F.when(F.col(flag), F.col("path"))))
     out = slots.groupBy("host").agg(paths("is_main").alias("main"), paths("is_drop").alias("drop"), paths("is_keep").alias("keep"))
     return out.withColumn("keep", F.filter("keep", lambda k: F.exists("drop", lambda d: F.startswith(k, F.concat(d, F.lit("/"))))))
 
 
+def _mains(slots: DataFrame) -> DataFrame:
+    """(h, s): the main slots of (host, slot, path, name, bad, mass, headings)."""
+    boxes = slots.filter(F.col("name").isin(*CONTAINERS) & ~F.col("bad"))
+    of = boxes.select(F.col("host").alias("h"), F.col("slot").alias("s"), F.col("mass").alias("m"), F.col("headings").alias("g"))
+    chain = boxes.select("host", "slot", "name", "mass", "headings", F.size(F.split("path", "/")).alias("own"), _prefixes(F.col("path")))
+    chain = stored(chain.join(of, chain["host"].eqNullSafe(F.col("h")) & (F.col("around") == F.col("s"))).withColumn("itself", F.col("around") == F.col("slot")), "chain")
+    parent = chain.groupBy("host", "slot").agg(F.max_by(F.struct("m", "g"), F.when(~F.col("itself"), F.col("depth"))).alias("p"), F.first("mass").alias("mass"), F.first("headings").alias("headings"))
+    fits = (F.col("mass") > 0) & (F.col("mass") >= F.col("p.m") * MOST) & (F.col("headings") >= F.col("p.g") * MOST)
+    entered = parent.select(F.col("host").alias("eh"), F.col("slot").alias("es"), F.coalesce(F.col("p").isNull() | fits, F.lit(True)).alias("fits"))
+    way = chain.join(entered, F.col("host").eqNullSafe(F.col("eh")) & (F.col("around") == F.col("es"))).groupBy("host", "slot").agg(F.min("fits").alias("reached"))
+    reached = way.filter("reached").select(F.col("host").alias("rh"), F.col("slot").alias("rs"))
+    above = chain.filter("not itself").join(reached, F.col("host").eqNullSafe(F.col("rh")) & (F.col("slot") == F.col("rs"))).select(F.col("host").alias("ah"), F.col("around").alias("as_")).distinct()
+    ends = reached.join(above, F.col("rh").eqNullSafe(F.col("ah")) & (F.col("rs") == F.col("as_")), "left_anti").select(F.col("rh").alias("h"), F.col("rs").alias("s"))
+    # an element that says it is the main text takes the place of a slot around it or inside it
+    said = boxes.filter(F.col("name").isin("article", "main")).select(F.col("host").alias("h"), F.col("slot").alias("s"))
+    pairs = chain.filter("not itself").select("host", F.col("slot").alias("lower"), F.col("around").alias("upper"))
+    near = lambda mine, other: pairs.join(said, pairs["host"].eqNullSafe(F.col("h")) & (F.col(mine) == F.col("s"))).select(F.col("host").alias("nh"), F.col(other).alias("ns"))
+    replaced = near("lower", "upper").unionByName(near("upper", "lower")).distinct()
+    return ends.join(replaced, F.col("h").eqNullSafe(F.col("nh")) & (F.col("s") == F.col("ns")), "left_anti").unionByName(said).distinct()
+
+
 #: The columns of a template.
 SLOTS = ("main", "drop", "keep")
 
 
-def extract(pages: DataFrame, least_pages: int = 3, support: float = 0.9, broadcast_hosts: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 3, support: float = 0.05, broadcast_hosts: int = 20_000) -> DataFrame:
     """(page_id, url, text) for each row of pages (page_id, url, html)."""
     found = stored(templates(pages, least_pages, support), "templates")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

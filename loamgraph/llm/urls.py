@@ -49,6 +49,10 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
+#: Hosts are lower-cased in A-Z only, as in host_and_path.
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def split(url: str | None) -> tuple[str, str, str]:
     """(host, path, what follows)."""
     _, sep, rest = (url or "").partition("://")
@@ -56,7 +60,7 @@ def split(url: str | None) -> tuple[str, str, str]:
         return "", "", ""
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
-    return host.lower(), path, rest[len(host) + len(path) :]
+    return host.translate(_LOWER), path, rest[len(host) + len(path) :]
 
 
 def entropy(s: str) -> float:

@@ -188,6 +188,33 @@ def test_html_copies_of_one_page(spark):
     assert got == {i: "The only story." for i in range(5)}
 
 
+def test_html_of_pages_whose_names_tell_nothing(spark):
+    """Divs with classes of no meaning, two layouts on one host, another host, an unknown one; menus, notices, side texts and a heading. Without templates the
+    text is another."""
+    import random
+
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice("alder birch cedar dogwood elm fir gorse hazel ivy juniper larch maple oak pine rowan spruce".split()) for _ in range(n))
+    menu = "".join(f"<div class='qa'><a href='/{k}'>Item {k}</a></div>" for k in range(9))
+    story = [(f"Title {i} {say(3)}", [say(30), say(25), f"Last of {i}"]) for i in range(24)]
+    inner = lambda i: f"<h1>{story[i][0]}</h1>" + "".join(f"<p>{x}</p>" for x in story[i][1])
+    one = lambda i: f"<html><body><div class='za'><div class='zb'>{menu}</div><div class='zc'>We keep small files. <a href='/k'>Fine</a></div><div class='zd'><div class='ze'>{inner(i)}<div class='zk'>Rights kept, ask first</div></div><div class='zf'>{say(2)}</div></div></div></body></html>"
+    two = lambda i: f"<html><body><table class='ya'><tr><td class='yb'>{menu}</td><td class='yc'>{inner(i)}</td><td class='yd'>{say(2)} now</td></tr></table></body></html>"
+    other = lambda i: f"<html><body><div class='za'>{inner(i)}</div><div class='wb'>Always here</div></body></html>"
+    pages = [(i, "http://one.example/", one(i) if i % 2 else two(i)) for i in range(16)] + [(i, "http://Other.example/", other(i)) for i in range(16, 22)]
+    df = table(spark, pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    for i in range(22):
+        assert got[i] == "\n".join([story[i][0], *story[i][1]]), i
+    assert all(html.main_text(h) != got[i] for i, _, h in pages)
+
+
+def test_html_hosts_are_known_by_one_rule(spark):
+    pages = [(i, f"http://{'Ä' if i % 2 else 'ä'}.NET/", f"<html><body><div class='a'>Top {i % 2}</div><div class='b'><p>Text {i}</p></div></body></html>") for i in range(12)]
+    df = table(spark, pages, "page_id long, url string, html string")
+    assert sorted(map(str, html.extract(df, broadcast_hosts=0).collect())) == sorted(map(str, html.extract(df).collect()))
+
+
 def test_html_whole_table(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
