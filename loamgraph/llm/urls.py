@@ -4,7 +4,7 @@ Rules are a short list (a parameter of the driver program); each becomes a branc
 matching runs inside the scan. URLs that no rule fits are judged by the trees: logistic boosting over quantile
 histograms of lexical features (lengths, depth, digit ratio, entropy, parameter counts, hyphens, and smoothed
 label shares of the last one and two labels of the host), trained from labelled URLs on the driver, at most
-``max_rows`` of them. Nothing is shuffled.
+``max_rows`` of them; by default a list written by hand beside generated ones (see ``train``). Nothing is shuffled.
 
 A null url, or one without "://", has an empty host and path, fits no rule and is judged on those. Repeated
 rows repeat; extra columns are ignored; an empty table gives no rows.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import url_labels
 from .arrow import in_batches
 from .common import ascii_lower
 
@@ -148,6 +149,10 @@ def fit(urls: list[str], labels: np.ndarray, rounds: int = 40, depth: int = 3, r
     return model
 
 
+#: Suffixes of generated hosts, unwanted and wanted: the suffix says something, but not all.
+_SUFFIXES = (".com .net .org .xyz .top .info .click .biz".split(), ".com .net .org .com .net .org .edu .de".split())
+
+
 def labelled_urls(n: int = 4000, seed: int = 0) -> tuple[list[str], np.ndarray]:
     """n labelled URLs made from the word lists: unwanted hosts (1) join their words by hyphens or digits, wanted ones (0) are plain words."""
     rng = np.random.default_rng(seed)
@@ -159,16 +164,19 @@ def labelled_urls(n: int = 4000, seed: int = 0) -> tuple[list[str], np.ndarray]:
             name = pick(["-", "-", "-", f"-{rng.integers(1, 99)}-"]).join([pick(UNWANTED), pick(UNWANTED + [syllables, "x", "365", "online"])])
         else:
             name = pick([syllables, syllables, pick(WANTED), pick(WANTED) + syllables])
-        host = pick(["", "www.", "blog.", "m."]) + name + pick([".example", ""]) + pick([".com", ".net", ".org"])
+        host = pick(["", "www.", "blog.", "m."]) + name + pick([".example", ""]) + pick(_SUFFIXES[1 - y])
         path = "/" + "/".join([pick(["en", "de", "fr", "es"]), str(rng.integers(1, 60000))][: rng.integers(0, 3)]) + pick(["", "", "/", ".html"])
         urls.append(pick(["http://", "https://"]) + host + path + pick(["", "", "", "?utm_source=feed", "?page=2&ref=x", "#top"]))
     return urls, labels.astype(float)
 
 
 def train(labelled: DataFrame | None = None, max_rows: int = 20_000, **how: float) -> Trees:
-    """From a DataFrame (url, label), of which at most max_rows rows in order of a digest are used; by default from labelled_urls()."""
+    """From a DataFrame (url, label), of which at most max_rows rows in order of a digest are used; by default from the training part of the
+    labelled URLs of url_labels, each ten times, beside those of labelled_urls()."""
     if labelled is None:
-        return fit(*labelled_urls(), **how)
+        (own, own_labels), _ = url_labels.split()
+        urls, labels = labelled_urls()
+        return fit(urls + own * 10, np.concatenate([labels, np.array(own_labels * 10)]), **how)
     rows = labelled.filter("url is not null and label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_rows).collect()
     return fit([r["url"] for r in rows], np.array([float(r["label"]) for r in rows]), **how)
 

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loamgraph.llm import common, decontam, exact, html, mixing, secrets, urls
+from loamgraph.llm import common, decontam, exact, html, mixing, secrets, url_labels, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -386,3 +386,27 @@ def test_trees_on_held_out_urls():
     other, labels = urls.labelled_urls(1000, seed=7)
     assert ((model.scores(other) >= 0.5) == (labels == 1)).mean() > 0.9
     assert np.allclose(model.scores(other), urls.train().scores(other))
+    # URLs that no generator made and training didn't see
+    _, (real, truth) = url_labels.split()
+    s, y = model.scores(real), np.array(truth)
+    auc = (s[y == 1][:, None] > s[y == 0][None, :]).mean()
+    assert len(real) >= 25 and auc > 0.95 and ((s >= 0.5) == (y == 1)).mean() > 0.85
+    print(auc, ((s >= 0.5) == (y == 1)).mean(), len(real))
+
+
+def test_a_tree_is_the_best_split_by_brute_force():
+    """The first cut of the first tree against all cuts of all features, tried one by one."""
+    import numpy as np
+
+    many, labels = urls.labelled_urls(300, seed=3)
+    model = urls.fit(many, labels, rounds=1, depth=1, bins=1000)
+    x = np.array([urls.lexical(u, model.suffixes, model.prior) for u in many])
+    g, h = labels - labels.mean(), np.full(len(labels), labels.mean() * (1 - labels.mean()))
+    gain = lambda on: g[on].sum() ** 2 / (h[on].sum() + 1)
+    best = max(gain(x[:, j] <= c) + gain(x[:, j] > c) for j in range(x.shape[1]) for c in np.unique(x[:, j])[:-1])
+    column, cut, leaf = model.trees[0]
+    left = x[:, column[0]] <= cut[0]
+    assert np.isclose(gain(left) + gain(~left), best)
+    assert np.allclose(leaf, [g[on].sum() / (h[on].sum() + 1) for on in (left, ~left)])
+
+
