@@ -221,7 +221,7 @@ def model_output(t):
     return t.table("events").select("event_id", jobs.clean_output(made).alias("answer"))
 
 
-@query("SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE CAST(n AS VARCHAR) END AS short FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS n FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', round(n / 1e6, 1)) WHEN n >= 1000 THEN printf('%.1fK', round(n / 1e3, 1)) ELSE CAST(n AS VARCHAR) END AS short FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS n FROM orders)")
 def short_numbers(t):
     return t.table("orders").select("o_orderkey", jobs.short_number(F.col("o_orderkey") * F.col("o_orderkey")).alias("short"))
 
