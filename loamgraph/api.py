@@ -272,7 +272,7 @@ class Engine:
         return self.detect_cycles().filter(F.array_contains("members", self._one(path)["path"]))
 
     def communities(self, resolution: float = 1.0) -> DataFrame:
-        """(id, repo, file_id, community_id, method), stored; made anew only if the edges were published since."""
+        """(id, repo, file_id, community_id), stored; made anew only if the edges were published since."""
         mark = f"{self.store.manifest()['deps']} {resolution}"
         if self.get_state("communities") != mark:
             edges = deps.local(self.table("deps")).filter("source_id != target_id")

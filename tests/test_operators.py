@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,17 +91,55 @@ def test_cascade_stops_at_depth(spark):
     assert dict(rows(graph.cascade(df, [0]).select(F.col("file_id").alias("b"), F.col("depth").alias("a")).select(F.col("b").alias("a"), F.col("a").alias("b")))) == {i: i for i in range(11)}
 
 
-def test_louvain_two_clusters():
-    pairs = [(a, b, 1.0) for g in ((1, 2, 3, 4), (5, 6, 7, 8)) for i, a in enumerate(g) for b in g[i + 1 :]] + [(4, 5, 1.0)]
-    assert graph.louvain(pairs) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5}
-    assert graph.louvain(pairs) == graph.louvain(pairs[::-1])
+def labels_of(spark, pairs, **options):
+    df = spark.createDataFrame(pairs, "repo string, a long, b long, weight double")
+    return {(r["repo"], r["file_id"]): r["community_id"] for r in graph.communities(df, **options).collect()}
 
 
-def test_label_propagation_for_large_repositories(spark):
-    pairs = [("r", a, b, 1) for g in ((1, 2, 3), (7, 8, 9)) for i, a in enumerate(g) for b in g[i + 1 :]]
-    df = spark.createDataFrame(pairs, "repo string, a long, b long, weight long")
-    got = {r["file_id"]: r["community_id"] for r in graph.communities(df, largest=1).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
+def test_communities_of_two_clusters(spark):
+    pairs = [("r", a, b, 1.0) for g in ((1, 2, 3, 4), (5, 6, 7, 8)) for i, a in enumerate(g) for b in g[i + 1 :]] + [("r", 4, 5, 1.0)]
+    want = {("r", v): 1 if v < 5 else 5 for v in range(1, 9)}
+    assert labels_of(spark, pairs) == labels_of(spark, pairs[::-1]) == want
+
+
+def test_communities_are_the_same_at_every_size(spark):
+    """In one group or as joins over the cluster: many clusters, weights, a hub, ids that are negative, a node of its own, a repository without weights."""
+    rng = random.Random(3)
+    pairs = [("r", v, v - v % 12 + rng.randrange(12) if rng.random() < 0.7 else rng.randrange(120), rng.choice([0.25, 1.0, 2.5, 0.1])) for v in range(120) for _ in range(3)]
+    pairs += [("r", -(2**63), v, 1.0) for v in range(0, 120, 9)] + [("r", 500, 500, 1.0)] + [("s", 1, 2, 0.0), ("s", 2, 3, None), ("t", 1, 2, 1.0)]
+    got = labels_of(spark, pairs)
+    assert got == labels_of(spark, pairs, largest=0)
+    assert len({c for (repo, _), c in got.items() if repo == "r"}) > 5
+    assert [got["s", v] for v in (1, 2, 3)] == [1, 2, 3] and got["t", 2] == 1 and got["r", 500] == 500
+    assert all(min(v for (q, v), d in got.items() if (q, d) == (repo, c)) == c for (repo, _), c in got.items())
+
+
+def partitions(nodes):
+    if not nodes:
+        yield []
+        return
+    for rest in partitions(nodes[1:]):
+        yield [[nodes[0]], *rest]
+        for i, part in enumerate(rest):
+            yield [*rest[:i], [nodes[0], *part], *rest[i + 1 :]]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_communities_near_the_best_partition(seed):
+    rng = random.Random(seed)
+    edges = {(a, b) for a in range(8) for b in range(a + 1, 8) if rng.random() < (0.8 if a // 4 == b // 4 else 0.2)}
+
+    def modularity(parts):
+        of = {v: i for i, p in enumerate(parts) for v in p}
+        degree = [sum(of[a] == i for e in edges for a in e) for i in range(len(parts))]
+        return sum(of[a] == of[b] for a, b in edges) / len(edges) - sum(d * d for d in degree) / (4 * len(edges) ** 2)
+
+    own = pd.DataFrame(sorted(edges), columns=["a", "b"]).assign(w=graph.UNIT)
+    hashes = [rng.getrandbits(63) for _ in range(8)]
+    got = graph.louvain(own.assign(ha=own["a"].map(hashes.__getitem__), hb=own["b"].map(hashes.__getitem__)))
+    found = modularity([list(g) for _, g in got.groupby("community_id")["file_id"]])
+    best = max(modularity(p) for p in partitions(sorted({v for e in edges for v in e})))
+    assert best - 0.05 <= found <= best + 1e-9
 
 
 def test_paths(spark):
