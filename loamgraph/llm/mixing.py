@@ -9,7 +9,7 @@ epochs come first; then a prefix of the source in key order, up to the remaining
 
 Scale: no source is ever sorted in one task. Keys fall into ``buckets`` ranges a source, one for every 20,000 rows of all; bucket sums are
 prefix-summed, whole buckets below the cut are taken, and only the one bucket of each source that holds
-the cut is ordered row by row. Texts are read once; all later passes see (id, size, source, key).
+the cut is ordered row by row. The ranges suit sources of any quality, so a source of poor documents doesn't end in one of them. Texts are read once; all later passes see (id, size, source, key).
 
 Null text: size 0. Null source: a source of its own, last. Empty table: no rows. Sizes of 0: targets 0,
 nothing taken. A null id draws by the text's digest. Ties in key fall to id, then size; rows equal in all three are interchangeable. Extra
@@ -46,6 +46,13 @@ def uniform(ident: Column, seed: int) -> Column:
     return (h.cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def spread(key: Column) -> Column:
+    """In [0, 1], rising with the key. Keys of documents of quality q are exponential of rate q, so 1 - exp(-q key) would spread them evenly; the
+    mean over several rates gives those of any quality a fifth of the range or nearly so."""
+    rates = (1.0, 0.5, 0.25, 0.125, 0.0625)
+    return sum((1 - F.exp(-key * r) for r in rates[1:]), 1 - F.exp(-key * rates[0])) / len(rates)
+
+
 def targets(sizes: DataFrame, max_epochs: int = 3, budget: float | None = None, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """One row per source of (source, source_size): adds weight and target. One row a source, so its windows are over a summary."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -72,8 +79,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, budget: float | None = None, weigh
     rows = docs.select("doc_id", "source", words(t).alias("size"), (-F.log(uniform(ident, seed)) / quality(t)).alias("key"))
     rows = stored(rows, "mix")
     buckets = buckets or max(64, rows.count() // ROWS_PER_BUCKET)
-    # 1 - exp(-key) rises with key and spreads keys of weight 1 evenly.
-    rows = rows.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("long"))
+    rows = rows.withColumn("bucket", F.least(F.floor(spread(F.col("key")) * buckets), F.lit(buckets - 1)).cast("long"))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), max_epochs, budget, weights)
     size = F.col("source_size")

@@ -135,6 +135,19 @@ def test_mixing_prefers_quality(spark):
     assert good[1] > 2 * good[0]
 
 
+def test_mixing_of_any_quality_fills_many_buckets(spark):
+    """Sources of good and of very poor documents: keys rise with buckets, no bucket holds much of a source, and the number of buckets changes nothing."""
+    docs = [(i, t * 4, s) for i in range(3000) for s, t in (("good", "plain words "), ("fair", "a = b; "), ("poor", "#### $$$$ %%%% &&& "))]
+    df = table(spark, docs, "doc_id long, text string, source string")
+    t = F.col("text")
+    keys = df.select("source", (-F.log(mixing.uniform(F.col("doc_id").cast("string"), 0)) / mixing.quality(t)).alias("key"))
+    keys = keys.withColumn("bucket", F.floor(mixing.spread(F.col("key")) * 100)).orderBy("key").collect()
+    assert all(a["bucket"] <= b["bucket"] for a, b in zip(keys, keys[1:], strict=False))
+    held = Counter((r["source"], r["bucket"]) for r in keys)
+    assert max(held.values()) < 3000 * 0.08
+    assert sorted(map(str, mixing.mix(df, buckets=5).collect())) == sorted(map(str, mixing.mix(df, buckets=700).collect()))
+
+
 # 3
 
 
