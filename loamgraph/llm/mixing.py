@@ -27,6 +27,8 @@ from .common import SPACE, small, stored, text_of
 BROADCAST_SOURCES = 20_000
 #: Buckets are made for about so many rows; one bucket of each source is sorted.
 ROWS_PER_BUCKET = 20_000
+#: But at least so many buckets.
+LEAST_BUCKETS = 1024
 
 
 def words(text: Column) -> Column:
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, max_epochs: int = 3, budget: float | None = None, weigh
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(t.cast("binary"))))
     rows = docs.select("doc_id", "source", words(t).alias("size"), (-F.log(uniform(ident, seed)) / quality(t)).alias("key"))
     rows = stored(rows, "mix")
-    buckets = buckets or max(64, rows.count() // ROWS_PER_BUCKET)
+    buckets = buckets or max(LEAST_BUCKETS, rows.count() // ROWS_PER_BUCKET)
     rows = rows.withColumn("bucket", F.least(F.floor(spread(F.col("key")) * buckets), F.lit(buckets - 1)).cast("long"))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     plan = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), max_epochs, budget, weights)
