@@ -5,7 +5,7 @@ w0 + sum w_i + sum_{i<j} <v_i, v_j>, whose second part learns pairs such as an i
 group; it is trained by Adagrad on logistic loss on the driver, from a sample of at most ``max_rows`` labelled
 rows (in order of a digest of their ids), each reduced on the executors to its hashed terms, of which the sample
 keeps rows until ``max_terms`` terms are reached. Those two parameters bound the driver's memory whatever the
-input's size. Terms enter the model for what they tell alone or, like the mention of a group, only beside another. Scoring reads every whole text, in bounded slices, with the model in the task closure
+input's size: terms come as bytes, four a term, are held once, and are counted and mapped a thousand rows at a time. Terms enter the model for what they tell alone or, like the mention of a group, only beside another. Scoring reads every whole text, in bounded slices, with the model in the task closure
 (2 ** bits x (factors + 1) floats).
 
 Null and empty texts have no terms and score sigmoid(w0). Repeated rows repeat. Labels with a null id or label are
@@ -62,6 +62,18 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(offsets, cols), -40, 40)))
 
 
+#: Rows that fit and paired handle at once.
+ROWS = 1000
+
+
+def parts(offsets: np.ndarray, cols: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, row of each term from 0, columns) of ROWS rows at a time, so that nothing as long as all terms is made from them."""
+    n = len(offsets) - 1
+    for at in range(0, n, ROWS):
+        end = min(n, at + ROWS)
+        yield at, end, np.repeat(np.arange(end - at), np.diff(offsets[at : end + 1])), cols[offsets[at] : offsets[end]]
+
+
 def paired(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, alone: np.ndarray, least_z: float, most: int) -> np.ndarray:
     """Columns that don't tell alone but do in a pair: rows with both columns have label 1 more or less often, by least_z deviations, than the
     two shares of label 1 add up to. All pairs of ``most`` columns are tested, a third of them the most telling ones, the rest the most varied."""
@@ -77,19 +89,21 @@ def paired(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, seen: np.n
     to = np.full(len(seen), -1)
     to[some] = np.arange(len(some))
     both, hit = (np.zeros((len(others), len(some)), np.float32) for _ in range(2))
-    for at in range(0, n, 1000):
-        end = min(n, at + 1000)
-        col = to[cols[offsets[at] : offsets[end]]]
+    for at, end, row, col in parts(offsets, cols):
+        col = to[col]
         x = np.zeros((end - at, len(some)), np.float32)
-        row = np.repeat(np.arange(end - at), np.diff(offsets[at : end + 1]))
         x[row[col >= 0], col[col >= 0]] = 1
         both += x[:, : len(others)].T @ x
         hit += x[:, : len(others)].T @ (x * labels[at:end, None].astype(np.float32))
     of = toxic[some] / np.maximum(seen[some], 1)
-    due = np.clip(of[: len(others), None] + of[None, :] - share, 0.02, 0.98)
-    z = np.abs(hit - both * due) / np.sqrt(both * due * (1 - due) + 1)
-    z[np.arange(len(others)), np.arange(len(others))] = 0
-    return others[z.max(1) >= least_z]
+    most_z = np.zeros(len(others))
+    for at in range(0, len(others), 100):
+        end = min(len(others), at + 100)
+        due = np.clip(of[at:end, None] + of[None, :] - share, 0.02, 0.98)
+        z = np.abs(hit[at:end] - both[at:end] * due) / np.sqrt(both[at:end] * due * (1 - due) + 1)
+        z[np.arange(end - at), np.arange(at, end)] = 0
+        most_z[at:end] = z.max(1)
+    return others[most_z >= least_z]
 
 
 def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 18, factors: int = 8, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, l2_pairs: float = 2e-2, least_rows: int = 5, least_z: float = 4.0, least_pair_z: float = 9.0, pair_columns: int = 1500, least_steps: int = 2000, seed: int = 0) -> Machine:
@@ -100,18 +114,22 @@ def fit(offsets: np.ndarray, cols: np.ndarray, labels: np.ndarray, bits: int = 1
         share = float(labels.mean()) if len(labels) else 0.0
         return Machine(40.0 if share == 1 else -40.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32), bits)
     rng = np.random.default_rng(seed)
-    seen = np.bincount(cols, minlength=size)
     share = labels.mean()
-    toxic = np.bincount(cols, np.repeat(labels, np.diff(offsets)), size)
+    seen, toxic = np.zeros(size, np.int64), np.zeros(size)
+    for at, end, row, col in parts(offsets, cols):
+        seen += np.bincount(col, minlength=size)
+        toxic += np.bincount(col, labels[at:end][row], size)
     z = (toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
     alone = (seen >= least_rows) & (np.abs(z) >= least_z)
     used = np.union1d(np.flatnonzero(alone), paired(offsets, cols, labels, seen, toxic, alone, least_pair_z, pair_columns))
     to = np.full(size, -1)
     to[used] = np.arange(len(used))
-    keep = to[cols] >= 0
-    row = np.repeat(np.arange(len(labels)), np.diff(offsets))[keep]
-    cols = to[cols[keep]]
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(labels)))])
+    kept, counts = [], []
+    for at, end, row, col in parts(offsets, cols):
+        col = to[col]
+        kept.append(col[col >= 0].astype(np.int32))
+        counts.append(np.bincount(row[col >= 0], minlength=end - at))
+    cols, offsets = np.concatenate(kept), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), factors))
     g0, gw, gv = 1e-8, np.full(len(used), 1e-8), np.full((len(used), factors), 1e-8)
     batches = max(1, len(labels) // 64)
@@ -158,19 +176,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             offsets, cols = features(b.column("text"), bits)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cols, pa.int32()))], names=["doc_id", "y", "terms"])
-
-    # written first, since sorting reads its input twice
-    made = stored(in_batches(rows, terms, "doc_id long, y int, terms array<int>"), "terms").orderBy(F.xxhash64("doc_id"), "doc_id", "y")
-    ys, parts, held = [], [], 0
-    for r in made.toLocalIterator():
-        if held + len(r["terms"]) > max_terms:
+            cols = cols.astype("<i4")
+            packed = [cols[x:y].tobytes() for x, y in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_y").cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "y", "terms"])
+
+    # written first, since sorting reads its input twice; bytes, since an array's numbers would be objects in the driver's JVM and its Python
+    made = stored(in_batches(rows, terms, "doc_id long, y int, terms binary"), "terms").orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+    ys, ends, cols = [], [0], bytearray()
+    for r in made.select("y", "terms").toLocalIterator():
+        if ends[-1] + len(r["terms"]) // 4 > max_terms:
             break
-        held += len(r["terms"])
+        cols += r["terms"]
         ys.append(r["y"])
-        parts.append(np.array(r["terms"], np.int64))
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return fit(offsets, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(ys, float), bits, **how)
+        ends.append(len(cols) // 4)
+    return fit(np.array(ends), np.frombuffer(cols, "<i4"), np.array(ys, float), bits, **how)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -344,6 +346,31 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_toxicity_holds_its_sample_once(spark, monkeypatch):
+    """The driver gets four bytes a term, no objects, and fit makes nothing as long as all terms from them."""
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **how: given.append(a))
+    texts = ["a stupid fool", "", None, "nice day nice day", "fool of a day"]
+    d = table(spark, list(enumerate(texts)), "doc_id long, text string")
+    toxicity.train(d, table(spark, [(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int"))
+    offsets, cols, y = given[0][:3]
+    assert isinstance(cols, np.ndarray) and cols.dtype == np.int32
+    at, want = toxicity.features(pa.array(texts), 18)
+    of = lambda offsets, cols: [tuple(cols[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
+    learnt = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(zip(of(offsets, cols), y.tolist(), strict=True)) == sorted((of(at, want)[i], float(i % 2)) for i in learnt)
+    monkeypatch.undo()
+    r = np.random.default_rng(1)
+    rows = [np.unique(r.zipf(1.2, 400) * 7919 % (1 << 18)) for _ in range(8000)]
+    y = (r.random(len(rows)) < 0.3).astype(float)
+    ends, cols = np.concatenate([[0], np.cumsum([len(x) for x in rows])]), np.concatenate(rows).astype(np.int32)
+    tracemalloc.start()
+    toxicity.fit(ends, cols, y, epochs=1, least_steps=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 75e6, most
+
+
 # all
 
 
